@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import p02_overlap, p07_site_lines, p08_packing, p09_leakage
+from quillspark.llm import p02_overlap, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
 from quillspark.registry import Registry, table
 
 R = Registry()
@@ -18,6 +18,16 @@ def p2_report(spark, d):
     return p02_overlap.report(table(spark, d, "queries"))
 
 
+@R.add("p6_found")
+def p6_found(spark, d):
+    return p06_near_duplicates.found(table(spark, d, "chunks"))
+
+
+@R.add("p6_groups")
+def p6_groups(spark, d):
+    return p06_near_duplicates.groups(table(spark, d, "chunks"))
+
+
 P7_SQL = r"""
 with lines as (
   select chunk_id, source, source_id, i - 1 as line_no,
