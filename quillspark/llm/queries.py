@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from quillspark.llm import p02_overlap, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
+from pyspark.sql import functions as F
+
+from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
 from quillspark.registry import Registry, table
 
 R = Registry()
 
 
+@R.add("p1_found")
+def p1_found(spark, d):
+    c = p01_canonical.lookalike_pairs(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunks").alias("table_name"), "key_a", "key_b")
+    q = p01_canonical.lookalike_pairs(table(spark, d, "queries_authored"), "sample_id", "question")
+    return c.unionByName(q.select(F.lit("queries_authored").alias("table_name"), "key_a", "key_b"))
+
+
+@R.add("p1_canonical")
+def p1_canonical(spark, d):
+    c = p01_canonical.canonical_texts(table(spark, d, "chunks"), "chunk_id", "text").withColumn("table_name", F.lit("chunks"))
+    q = p01_canonical.canonical_texts(table(spark, d, "queries_authored"), "sample_id", "question").withColumn("table_name", F.lit("queries_authored"))
+    return c.unionByName(q)
+
+
+@R.add("p4_found")
+def p4_found(spark, d):
+    return p04_sentences.found(table(spark, d, "chunks"))
+
+
+@R.add("p4_sentences")
+def p4_sentences(spark, d):
+    return p04_sentences.units(table(spark, d, "chunks"), texts=True)
+
+
 @R.add("p2_found")
 def p2_found(spark, d):
     return p02_overlap.found(table(spark, d, "queries"))
