@@ -6,9 +6,8 @@ every blank as a space; invisible format characters removed; Cyrillic and Greek
 Letter case, raised, lowered and circled digits, and full-width punctuation stay as they are: they look different.
 
 Method: quick-check properties. A character is stable if it isn't mapped, has combining class 0 and can't compose with
-the character before it (NFC_QC = Yes). One compiled expression finds the runs of unstable characters with the one stable
-character before them, which is all the context a composition can need; only these segments are normalised and spliced
-into the unchanged text. Stable texts pass with one scan.
+the character before it (NFC_QC = Yes). Runs of unstable characters with the one stable character before them, which is all the context
+a composition can need, are normalised and spliced into the unchanged text. Stable texts pass with one scan.
 
 Pairs: texts are keyed by hashes of canonical and stored form; only keys with two different stored forms go on. Equal
 stored texts are one class: representatives are paired, each further copy with one representative of another class.
@@ -18,7 +17,6 @@ Defined results: null texts and null keys have no partner; empty texts are texts
 
 from __future__ import annotations
 
-import re
 import unicodedata as ud
 from functools import cache
 
@@ -66,7 +64,8 @@ def _mapped(c: str) -> str | None:
 
 
 @cache
-def _tables() -> tuple[dict[int, str], re.Pattern]:
+def _tables() -> tuple[dict[int, str], frozenset[str]]:
+    """The mapping and the set of unstable characters."""
     table: dict[int, str] = {c: "" for c in _INVISIBLE}
     unstable = set(_INVISIBLE)
     for n in range(9, _LAST):
@@ -82,22 +81,13 @@ def _tables() -> tuple[dict[int, str], re.Pattern]:
         if d and d[0] != "<" and " " in d:
             unstable.add(int(d.split()[1], 16))
     unstable.update(range(0x1161, 0x1176), range(0x11A8, 0x11C3))
-    ranges, run = [], []
-    for n in sorted(unstable):
-        if run and n == run[1] + 1:
-            run[1] = n
-        else:
-            run = [n, n]
-            ranges.append(run)
-    inside = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges)
-    return table, re.compile(f"[^{inside}]?[{inside}]+", re.DOTALL)
+    return table, frozenset(map(chr, unstable))
 
 
 _SEEN: dict[str, str] = {}
 
 
-def _segment(m: re.Match) -> str:
-    s = m[0]
+def _segment(s: str) -> str:
     if (r := _SEEN.get(s)) is None:
         r = ud.normalize("NFC", s.translate(_tables()[0]))
         if len(_SEEN) < 200_000 and len(s) < 40:
@@ -109,7 +99,21 @@ def canonical(text: str) -> str:
     """The one form of all texts that look like this one."""
     if text.isascii() and "\t" not in text:
         return text
-    return _tables()[1].sub(_segment, text)
+    unstable = _tables()[1]
+    if unstable.isdisjoint(text):
+        return text
+    out, done, n = [], 0, len(text)
+    at = [i for i, c in enumerate(text) if c in unstable]
+    k = 0
+    while k < len(at):
+        begin = max(at[k] - 1, done)
+        end = at[k] + 1
+        while (k := k + 1) < len(at) and at[k] <= end:
+            end = at[k] + 1
+        out += (text[done:begin], _segment(text[begin:end]))
+        done = end
+    out.append(text[done:n])
+    return "".join(out)
 
 
 def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
