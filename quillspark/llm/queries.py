@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
+from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p05_page_body, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
 from quillspark.registry import Registry, table
 
 R = Registry()
@@ -44,6 +44,16 @@ def p2_report(spark, d):
     return p02_overlap.report(table(spark, d, "queries"))
 
 
+@R.add("p5_found")
+def p5_found(spark, d):
+    return p05_page_body.found(table(spark, d, "chunks"))
+
+
+@R.add("p5_bodies")
+def p5_bodies(spark, d):
+    return p05_page_body.bodies(table(spark, d, "chunks"))
+
+
 @R.add("p6_found")
 def p6_found(spark, d):
     return p06_near_duplicates.found(table(spark, d, "chunks"))
