@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p05_page_body, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage
+from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p05_page_body, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage, p10_residue
 from quillspark.registry import Registry, table
 
 R = Registry()
@@ -112,6 +112,16 @@ def p9_spans(spark, d):
     return p09_leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), spans=True)
 
 
+@R.add("p10_found")
+def p10_found(spark, d):
+    return p10_residue.found(table(spark, d, "documents"))
+
+
+@R.add("p10_spans")
+def p10_spans(spark, d):
+    return p10_residue.residue_spans(table(spark, d, "documents"))
+
+
 def queries():
     return dict(R.queries)
 
