@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import p01_canonical, p02_overlap, p04_sentences, p05_page_body, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage, p10_residue
+from quillspark.llm import p01_canonical, p02_overlap, p03_encoding, p04_sentences, p05_page_body, p06_near_duplicates, p07_site_lines, p08_packing, p09_leakage, p10_residue
 from quillspark.registry import Registry, table
 
 R = Registry()
@@ -24,6 +24,16 @@ def p1_canonical(spark, d):
     return c.unionByName(q)
 
 
+@R.add("p3_found")
+def p3_found(spark, d):
+    return p03_encoding.found(table(spark, d, "chunks"))
+
+
+@R.add("p3_restored")
+def p3_restored(spark, d):
+    return p03_encoding.restored_texts(table(spark, d, "chunks"))
+
+
 @R.add("p4_found")
 def p4_found(spark, d):
     return p04_sentences.found(table(spark, d, "chunks"))
