@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.registry import Registry
+from quillspark.plans import corpus, log, retrieval
 
-MODULES: list[Registry] = []
+MODULES = [retrieval.R, corpus.R, log.R]
 
 
 def queries():
