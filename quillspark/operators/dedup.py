@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from quillspark.functions import text as T
-from quillspark.session import staged
+from quillspark.session import spread, staged
 
 PERMS, BANDS, THRESHOLD = 128, 32, 0.85
 
@@ -43,7 +43,7 @@ def similar_pairs(df: DataFrame, key: str, text: str = "text", threshold: float
     Equal texts are one class; pairs are between class representatives (see `classes`). 32 bands of 4 values miss a pair at 0.85 with probability 1e-10."""
     reps = df.where(F.length(T.squash(F.col(text))) > 0).groupBy(T.squash(F.col(text)).alias("s")).agg(F.min(key).alias("id"))
     sh = staged(reps.select("id", T.shingles(F.col("s")).alias("sh")), "shingles")
-    keyed = staged(sh.select("id", F.explode(band_keys("sh")).alias("band")), "bands")
+    keyed = staged(spread(sh).select("id", F.explode(band_keys("sh")).alias("band")), "bands")
     pairs = keyed.join(keyed.select(F.col("id").alias("b"), "band"), "band").where("id < b").select(F.col("id").alias("a"), "b").distinct()
     full = pairs.join(sh.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sh.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))

@@ -8,6 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import metrics as M
 from quillspark.operators import rank as K
 from quillspark.registry import Registry, table
+from quillspark.session import spread
 
 R = Registry()
 
@@ -28,7 +29,7 @@ TOP = "(select *, row_number() over (partition by query_id order by round(score,
 
 
 def docs(spark, d):
-    return table(spark, d, "chunks").where("text is not null").select(F.col("chunk_id").alias("id"), T.tokens_bigram(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "chunks").where("text is not null").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), T.tokens_bigram(F.col("text")).alias("tokens"))
 
 
 def asks(spark, d):
