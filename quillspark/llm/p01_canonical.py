@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of, h64
-from quillspark.session import staged
+from quillspark.session import spread, staged
 
 # Letters of other scripts drawn like Latin letters.
 LOOKALIKES = dict(
@@ -137,7 +137,7 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
             c = [canonical(x) for x in t]
             yield batch_of(schema, {"key": k, "look": [h64(x) for x in c], "look2": [h64(x, 9) for x in c], "raw": [h64(x, 5) for x in t]})
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    rows = spread(df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))).where("key is not null and text is not null")
     return rows.mapInArrow(make, "key string, look bigint, look2 bigint, raw bigint")
 
 

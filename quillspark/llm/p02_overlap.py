@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of, h64
 from quillspark.llm.p09_leakage import reduced
-from quillspark.session import staged
+from quillspark.session import spread, staged
 
 THRESHOLD, DEPTH, SHARD, SLICE = 0.7, 5, 20_000, 40_000
 
@@ -47,7 +47,7 @@ def reduced_questions(queries: DataFrame) -> DataFrame:
             rows = [(i, s, o, r, h64(r)) for i, s, o, q in zip(*b.to_pydict().values(), strict=True) if i is not None and s is not None and q and len(r := reduced(q)) >= 3]
             yield batch_of(schema, {f.name: [x[j] for x in rows] for j, f in enumerate(schema)})
 
-    return queries.select("sample_id", "split", "source", "question").mapInArrow(red, "sample_id string, split string, source string, norm string, key bigint")
+    return spread(queries.select("sample_id", "split", "source", "question")).mapInArrow(red, "sample_id string, split string, source string, norm string, key bigint")
 
 
 def _scan(shard: pd.DataFrame, texts: pd.DataFrame, threshold: float, depth: int):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64, small_batches
-from quillspark.session import staged
+from quillspark.session import spread, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 SLOTS, WIDTH, MASKS, MAX_BITS = 64, 4, 12, 16
@@ -180,7 +180,7 @@ def _classes(chunks: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * MASKS, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([d["chunk_id"][i] for i in keep]), pa.array([d["source_id"][i] for i in keep], pa.string()), pa.array([h64(texts[i]) for i in keep]), pa.array(gray_order(bit_strings(low))), lists], schema=schema)
 
-    rows = chunks.select("chunk_id", "source_id", "text").where("text is not null")
+    rows = spread(chunks.select("chunk_id", "source_id", "text").where("text is not null"))
     return rows.mapInArrow(make, "chunk_id string, source_id string, cls bigint, rank bigint, keys array<bigint>")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64, small_batches
-from quillspark.session import bounded_rows, staged
+from quillspark.session import bounded_rows, spread, staged
 
 WINDOW, CUT_MASK, MIN_DOCS = 8, 63, 6
 #: Keys that are handed to the Python workers at once (16 MB); beyond it, lines and keys are joined.
@@ -99,7 +99,7 @@ def _repeated(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def _columns(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "source", "source_id", "text").where("text is not null")
+    return spread(chunks.select("chunk_id", "source", "source_id", "text").where("text is not null"))
 
 
 def repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS, key_limit: int = KEY_LIMIT) -> DataFrame:

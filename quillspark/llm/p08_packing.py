@@ -65,7 +65,7 @@ def packed(documents: DataFrame, capacities: list[tuple[str, list[int]]], shard_
     shards = max(1, -(-int(total) // shard_tokens))
     sets = {name: sorted({int(c) for c in caps if c and c > 0}) for name, caps in capacities}
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
         no = pdf.groupby("doc_id", dropna=False).cumcount().to_numpy()
         plan, shard = key

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of
+from quillspark.session import spread
 
 RUN = 50
 #: Blocks of one automaton: 200,000 blocks of 25 characters need at most about 300 MB in a worker.
@@ -130,7 +131,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_limit: i
 
         return over
 
-    docs = documents.select("doc_id", "text").where("text is not null")
+    docs = spread(documents.select("doc_id", "text").where("text is not null"))
     parts = []
     for s in range(shards):
         own = [(r.item_id, r.text) for r in red.where(F.pmod(F.hash("item_id"), F.lit(shards)) == s).collect()]
