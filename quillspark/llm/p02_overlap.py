@@ -69,7 +69,7 @@ def _scan(shard: pd.DataFrame, texts: pd.DataFrame, threshold: float, depth: int
     auto.make_automaton()
     needed_of = np.array(needed, np.int32)
     keys = shard["key"].to_numpy()
-    for key, text in zip(texts["key"].to_numpy(), texts["norm"], strict=True):
+    for key, text in zip(texts["t_key"].to_numpy(), texts["t_norm"], strict=True):
         met = dict(hit for _, hit in auto.iter(text))
         if not met:
             continue
@@ -93,13 +93,14 @@ def record_pairs(norm: DataFrame, threshold: float = THRESHOLD, depth: int = DEP
     n_eval, n_train = (r := side.groupBy().agg(F.count_if(~F.col("train")).alias("e"), F.count_if("train").alias("t")).first()).e, r.t
     shards, parts = max(1, -(-n_eval // shard)), max(1, -(-n_train // part))
     e = evals.select("*", F.pmod(F.hash("key"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    t = trains.select("*", F.pmod(F.hash("key"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # own names on this side: both sides come from one table, and Spark would take equal columns for each other
+    t = trains.select(F.col("key").alias("t_key"), F.col("norm").alias("t_norm"), F.pmod(F.hash("key"), F.lit(parts)).alias("t_part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("t_shard"))
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = list(_scan(a, b, threshold, depth)) if len(a) and len(b) else []
         return pd.DataFrame(rows, columns=["eval_key", "train_key", "similarity", "coverage"])
 
-    return e.groupBy("shard", "part").cogroup(t.groupBy("shard", "part")).applyInPandas(both, "eval_key bigint, train_key bigint, similarity double, coverage double")
+    return e.groupBy("shard", "part").cogroup(t.groupBy("t_shard", "t_part")).applyInPandas(both, "eval_key bigint, train_key bigint, similarity double, coverage double")
 
 
 def overlaps(queries: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
