@@ -86,6 +86,15 @@ class _Page(HTMLParser):
         elif text:
             self.out.append((self.kind, self.level, text))
 
+    def row(self) -> None:
+        """Ends the open table row: the first of a table names the columns."""
+        cells, self.cells = self.cells, None
+        if cells and not self.header:
+            self.header = cells
+        elif cells:
+            named = [f"{self.header[i] if i < len(self.header) else f'列{i + 1}'}：{c}" for i, c in enumerate(cells)]
+            self.out.append(("table_row", 0, "；".join(named)))
+
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP:
             self.skip += 1
@@ -100,6 +109,7 @@ class _Page(HTMLParser):
         elif tag in ("p", "div"):
             self.kind, self.level = "paragraph", 0
         elif tag == "tr":
+            self.row()
             self.cells = []
         elif tag == "table":
             self.header = []
@@ -111,13 +121,8 @@ class _Page(HTMLParser):
             self.in_title = False
         if tag in _BREAK or tag in ("td", "th"):
             self.flush()
-        if tag == "tr" and self.cells is not None:
-            cells, self.cells = self.cells, None
-            if not self.header:
-                self.header = cells
-            elif cells:
-                named = [f"{self.header[i] if i < len(self.header) else f'列{i + 1}'}：{c}" for i, c in enumerate(cells)]
-                self.out.append(("table_row", 0, "；".join(named)))
+        if tag in ("tr", "table"):
+            self.row()
         if tag in _HEAD or tag == "li":
             self.kind, self.level = "paragraph", 0
 
