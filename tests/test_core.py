@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import answers as A
 from quillspark.operators import chunking as C
 from quillspark.operators import dedup as D
 from quillspark.operators import events as E
@@ -192,6 +193,20 @@ def test_sources(spark, tmp_path):
         I.replayed(req, own, own).collect()
 
 
+def test_answers(spark):
+    rows = [(True, ["a"], ["a"]), (True, ["b"], ["a"]), (False, None, ["a"]), (False, None, []), (True, ["a"], None), (None, None, None)]
+    df = spark.createDataFrame(rows, "x boolean, cited array<string>, gold array<string>").select(F.lit("g").alias("g"), A.outcome(F.col("x"), F.col("cited"), F.col("gold")).alias("outcome"))
+    assert [r.outcome for r in df.collect()] == ["correct", "wrong", "refused", "correct_refusal", "false_answer", "invalid"]
+    f = A.answer_f1(df, ["g"]).first()
+    assert (f.precision, f.recall) == (pytest.approx(1 / 3), pytest.approx(1 / 3))
+    assert A.answer_f1(df.where("outcome = 'invalid'"), ["g"]).first().f1 is None
+    assert one(spark, "约12例，共5", A.change_number) == "约25例，共5" and one(spark, "无", A.change_number) == "无"
+    heads = spark.createDataFrame([("d", 1, 1, "A"), ("d", 2, 2, "B"), ("d", 3, 3, "C"), ("d", 4, 2, "D")], "d string, o int, l int, t string")
+    assert [r.path for r in A.section_paths(heads, "d", "o", "l", "t").orderBy("o").collect()] == [["A"], ["A", "B"], ["A", "B", "C"], ["A", "D"]]
+    r = spark.createDataFrame([("q", 1, True), ("q", 2, False), ("q", 3, True), ("p", 1, False)], "query_id string, rank int, relevant boolean")
+    assert {x.query_id: x.context_precision for x in A.context_precision(r).collect()} == {"q": pytest.approx((1 + 2 / 3) / 2), "p": 0.0}
+
+
 def test_catalogue_is_consistent():
     import __spark_entry__ as e
 
