@@ -10,6 +10,7 @@ from quillspark.operators import rank as K
 from quillspark.registry import Registry, table
 
 R = Registry()
+FEW_TOPICS = 1000
 
 # Each question with a stand-in decision: it is answered if it has a source, and cites the first of its gold passages if its id is even.
 OUTCOMES = """o as (select split, bucket, case when bucket is null then 'invalid' when source is null and len(gold_evidence_ids) > 0 then 'refused' when source is null then 'correct_refusal' when len(gold_evidence_ids) = 0 then 'false_answer' when cast(substr(sample_id, 2) as bigint) % 2 = 0 then 'correct' else 'wrong' end outcome from queries)"""
@@ -85,15 +86,17 @@ def truncated_texts(spark, d):
 def filter_relaxation(spark, d):
     """Per query the first level of ever fewer conditions that has three hits.
 
-    Titles are matched by an equi-join of their substrings, in the lengths that topics have, with the distinct topics; hits are counted a topic before queries join."""
+    Up to FEW_TOPICS distinct topics are sent to the titles; more are met by an equi-join with the titles' substrings. Hits are counted a topic before queries join."""
     q = table(spark, d, "queries_authored").select(F.col("sample_id").alias("query_id"), F.col("expected_filters")["topic"].alias("topic")).where("topic is not null")
     c = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), F.col("metadata.title").alias("title"), F.col("metadata.content_kind").alias("kind"), F.col("evidence_level").alias("lvl"))
     topics = q.select("topic").distinct()
-    lengths = sorted(r.n for r in topics.select(F.length("topic").alias("n")).distinct().collect())
-    if not lengths:
-        return spark.createDataFrame([], "query_id string, level int, hits bigint")
-    cut = F.array_distinct(F.concat(*[T.windows(F.col("title"), n) for n in lengths]))
-    hit = c.where("title is not null").select("id", "kind", "lvl", F.explode(cut).alias("topic")).join(topics, "topic")
+    titles = c.where("title is not null").select("id", "kind", "lvl", "title")
+    if topics.count() <= FEW_TOPICS:
+        hit = titles.join(F.broadcast(topics), F.contains("title", F.col("topic")))
+    else:
+        lengths = sorted(r.n for r in topics.select(F.length("topic").alias("n")).distinct().collect())
+        cut = F.array_distinct(F.concat(*[T.windows(F.col("title"), n) for n in lengths]))
+        hit = titles.select("id", "kind", "lvl", F.explode(cut).alias("topic")).join(topics, "topic")
     at = F.when((F.col("kind") == "pdf_text") & (F.col("lvl") == "level_1_guideline"), 0).when(F.col("kind") == "pdf_text", 1).otherwise(2)
     levels = hit.select("topic", "id", F.explode(F.sequence(at, F.lit(2))).alias("level"))
     best = K.relaxed(levels.withColumnRenamed("topic", "query_id"), 3).groupBy("query_id", "level").agg(F.count("*").alias("hits"))

@@ -42,12 +42,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows of df if they are at most `limit`, else None; never takes more than limit + 1 rows to the driver."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: tables of one small file would run in one task. Larger inputs pass without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
