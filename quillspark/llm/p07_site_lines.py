@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64, small_batches
-from quillspark.session import bounded_rows, spread, staged
+from quillspark.session import spread, staged
 
 WINDOW, CUT_MASK, MIN_DOCS = 8, 63, 6
 #: Keys that are handed to the Python workers at once (16 MB); beyond it, lines and keys are joined.
@@ -115,8 +115,7 @@ def repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS, key_limit: int =
                 yield batch_of(_KEY_DOC, {"key": key, "doc": docs})
 
     pieces = staged(_repeated(rows.mapInArrow(piece_docs, "key bigint, doc bigint"), min_docs), "p7-pieces")
-    got = bounded_rows(pieces, key_limit)
-    known = None if got is None else np.sort(np.array([r.key for r in got], np.int64))
+    known = np.sort(pieces.toArrow().column(0).to_numpy()) if pieces.count() <= key_limit else None
 
     out = pa.schema([("chunk_id", pa.string()), ("line_no", pa.int64()), ("key", pa.int64()), ("doc", pa.int64())])
     more = pa.schema([*out, ("piece", pa.int64()), ("pieces", pa.int64())])
@@ -171,7 +170,7 @@ def repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS, key_limit: int =
             yield batch_of(_KEY_DOC, {"key": key, "doc": docs})
 
     forms = staged(_repeated(lines.select("key", "doc").mapInArrow(few, "key bigint, doc bigint"), min_docs), "p7-forms")
-    if (got := bounded_rows(forms, key_limit)) is not None:
+    if forms.count() <= key_limit:
         forms = F.broadcast(forms)
     return lines.join(forms, "key", "left_semi").select("chunk_id", "line_no").distinct()
 
