@@ -31,6 +31,14 @@ def tokens_bigram(c: Column) -> Column:
     return F.flatten(pairs)
 
 
+def token_bag(c: Column) -> Column:
+    """The tokens of `tokens_bigram` in no particular order: three scans without a lambda, for counting and set operations."""
+    def every(pattern):
+        return F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(1))
+
+    return F.concat(every("(?=([㐀-鿿]{2}))"), every("(?<![㐀-鿿])([㐀-鿿])(?![㐀-鿿])"), every("([a-z0-9]+)"))
+
+
 def sentences(c: Column, ends: str = "。！？；") -> Column:
     """Pieces up to and with an end mark and its closers, trimmed, empty ones dropped."""
     parts = F.regexp_extract_all(c, F.lit(f"([^{ends}]*[{ends}][”’」』）)]*|[^{ends}]+)"), F.lit(1))

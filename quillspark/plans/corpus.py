@@ -39,7 +39,7 @@ def normalize_text(spark, d):
 
 @R.add("tokenize_cjk", "select term, count(*) n, count(distinct id) docs from (select id, unnest(tokens) term from (select chunk_id id, flatten(list_transform(regexp_extract_all(lower(text), '[㐀-鿿]+|[a-z0-9]+'), lambda p: case when regexp_full_match(p, '[㐀-鿿]{2,}') then list_transform(range(1, length(p)), lambda i: substring(p, i, 2)) else [p] end)) tokens from chunks where text is not null)) group by term")
 def tokenize_cjk(spark, d):
-    t = spread(table(spark, d, "chunks").where("text is not null").select("chunk_id", "text")).select("chunk_id", F.explode(T.tokens_bigram(F.col("text"))).alias("term"))
+    t = spread(table(spark, d, "chunks").where("text is not null").select("chunk_id", "text")).select("chunk_id", F.explode(T.token_bag(F.col("text"))).alias("term"))
     per = t.groupBy("term", "chunk_id").count()
     return per.groupBy("term").agg(F.sum("count").alias("n"), F.count("*").alias("docs"))
 

@@ -29,13 +29,13 @@ TOP = "(select *, row_number() over (partition by query_id order by round(score,
 
 
 def docs(spark, d):
-    return spread(table(spark, d, "chunks").where("text is not null").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), T.tokens_bigram(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "chunks").where("text is not null").select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), T.token_bag(F.col("text")).alias("tokens"))
 
 
 def asks(spark, d):
     """Every question whose id is divisible by 100, against all chunks."""
     q = table(spark, d, "queries").where("cast(substr(sample_id, 2) as bigint) % 100 = 0")
-    return q.select(F.col("sample_id").alias("query_id"), T.tokens_bigram(F.col("question")).alias("tokens"))
+    return q.select(F.col("sample_id").alias("query_id"), T.token_bag(F.col("question")).alias("tokens"))
 
 
 def qrels(spark, d):
@@ -211,5 +211,5 @@ def bootstrap_mean(spark, d):
 @R.add("overlap_ratio", f"with {ASK}, {DOCS}, p as (select query_id, id, q.tokens qt, d.tokens dt from (select distinct sample_id query_id, unnest(gold_evidence_ids) id from queries) g join (select sample_id query_id, {TOK.format(t='question')} tokens from queries) q using (query_id) join docs d using (id)) select query_id, id, round(len(list_intersect(qt, dt)) / greatest(len(list_distinct(qt)), 1), 9) overlap from p")
 def overlap_ratio(spark, d):
     q = table(spark, d, "queries")
-    gold = q.select(F.col("sample_id").alias("query_id"), F.explode("gold_evidence_ids").alias("id"), T.tokens_bigram(F.col("question")).alias("qt")).distinct()
+    gold = q.select(F.col("sample_id").alias("query_id"), F.explode("gold_evidence_ids").alias("id"), T.token_bag(F.col("question")).alias("qt")).distinct()
     return gold.join(docs(spark, d), "id").select("query_id", "id", F.round(T.overlap(F.col("qt"), F.col("tokens")), 9).alias("overlap"))

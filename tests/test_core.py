@@ -22,6 +22,7 @@ def one(spark, text, f):
 
 def test_tokens_and_splits(spark):
     assert one(spark, "发热咳嗽 Covid-19，流感２", T.tokens_bigram) == ["发热", "热咳", "咳嗽", "covid", "19", "流感"]
+    assert sorted(one(spark, "发热咳嗽 Covid-19，流感２x 一", T.token_bag)) == sorted(one(spark, "发热咳嗽 Covid-19，流感２x 一", T.tokens_bigram))
     assert one(spark, "  A b\tC ", T.tokens_whitespace) == ["a", "b", "c"]
     assert one(spark, "甲。乙！”丙", T.sentences) == ["甲。", "乙！”", "丙"]
     assert one(spark, "甲，乙、丙", T.clauses) == ["甲，", "乙、", "丙"]
