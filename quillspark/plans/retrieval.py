@@ -122,6 +122,15 @@ pq as (select query_id, coalesce(h1, 0) hit_1, coalesce(h3, 0) hit_3, coalesce(h
 """
 
 
+def flagship(spark, d):
+    """Ranking metrics of BM25 by split and bucket, for all questions of a small corpus."""
+    q = table(spark, d, "queries")
+    ranked = K.top(K.bm25(docs(spark, d), q.select(F.col("sample_id").alias("query_id"), T.token_bag(F.col("question")).alias("tokens"))), 10)
+    gold = q.select(F.col("sample_id").alias("query_id"), F.explode("gold_evidence_ids").alias("id"))
+    m = M.per_query(ranked, gold).join(q.select(F.col("sample_id").alias("query_id"), "split", "bucket"), "query_id")
+    return m.groupBy("split", "bucket").agg(F.count("*").alias("n"), F.avg("hit_3").alias("hit_3"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg"))
+
+
 def _per_query(spark, d):
     return M.per_query(K.top(bm25_scores(spark, d), 10), qrels(spark, d))
 
