@@ -321,6 +321,13 @@ def test_p10(spark):
     assert p10.found(df.limit(0)).count() == 0
 
 
+def test_p10_frequent_residue(spark):
+    prose = [(i, f"Nurses met older adults in ward {chr(97 + i % 26)}{chr(97 + i // 26)} and " + "".join(chr(0x4E00 + (i * 53 + k * 7) % 4000) for k in range(1500))) for i in range(600)]
+    notice = [(1000 + i, f"Please enable JavaScript to continue. {i}") for i in range(3000)]
+    df = documents(spark, prose + notice)
+    assert {r.doc_id for r in p10.found(df).collect()} == {r[0] for r in notice}
+
+
 def test_windows_are_maximal_sums():
     import numpy as np
 
