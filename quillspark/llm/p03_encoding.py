@@ -235,7 +235,7 @@ def _run(chunks: DataFrame, restore: bool) -> DataFrame:
     kinds = "chunk_id string, text string" if restore else "chunk_id string"
     schema = pa.schema([("chunk_id", pa.string()), *([("text", pa.string())] * restore)])
     if table.count() > TABLE_LIMIT:
-        return _joined(rows, table)
+        return _joined(rows, table, restore)
     got = table.toArrow().sort_by("key")
     keys = got.column("key").to_numpy().view(U64)
     order = np.argsort(keys, kind="stable")
@@ -260,20 +260,40 @@ def _run(chunks: DataFrame, restore: bool) -> DataFrame:
     return rows.mapInArrow(scan, kinds)
 
 
-def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """The affected chunk ids by a join of exploded tokens, for tables too large to be sent."""
-    schema = pa.schema([("chunk_id", pa.string()), ("key", pa.int64()), ("place", pa.int64()), ("lost", pa.bool_())])
+def _joined(rows: DataFrame, table: DataFrame, restore: bool) -> DataFrame:
+    """The rows of `_run` by a join of exploded tokens, for tables too large to be sent; rows are told apart by chunk id and text."""
+    schema = pa.schema([("chunk_id", pa.string()), ("row", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("place", pa.int64()), ("lost", pa.bool_())])
+    marked = rows.select("chunk_id", "text", F.xxhash64("text").alias("row"))
 
     def tokens(batches):
         for b in batches:
-            for c, t in zip(*b.to_pydict().values(), strict=True):
+            for c, t, r in zip(*b.to_pydict().values(), strict=True):
                 if not t.isascii():
                     k, at, _ = _token_keys(t)
-                    yield batch_of(schema, {"chunk_id": [c] * len(k), "key": k.view(np.int64), "place": at, "lost": [bool(_LOST.search(t))] * len(k)})
+                    n = len(k)
+                    yield batch_of(schema, {"chunk_id": [c] * n, "row": [r] * n, "key": k.view(np.int64), "pos": np.arange(n), "place": at, "lost": [bool(_LOST.search(t))] * n})
+
+    hits = marked.distinct().mapInArrow(tokens, "chunk_id string, row bigint, key bigint, pos bigint, place bigint, lost boolean")
+    low = [F.min("place").alias("low"), F.max("place").alias("high"), F.max("lost").alias("lost")]
+    if not restore:
+        return hits.join(table.select("key"), "key", "left_semi").groupBy("chunk_id", "row").agg(*low).where("low < 0 or low < high or lost").select("chunk_id")
+    met = F.sort_array(F.collect_list(F.struct("pos", "place", "word", "chain"))).alias("met")
+    per = hits.join(table.select("key", "word", "chain"), "key").groupBy("chunk_id", "row").agg(*low, met).where("low < 0 or low < high or lost").select(F.col("chunk_id").alias("id"), F.col("row").alias("of"), "met")
+    named = marked.join(per, marked.chunk_id.eqNullSafe(per.id) & (marked.row == per.of)).select("chunk_id", "text", "met")
+    made = pa.schema([("chunk_id", pa.string()), ("text", pa.string())])
+
+    def put_back(batches):
+        for b in batches:
+            ids, texts = [], []
+            for c, t, met in zip(*b.to_pydict().values(), strict=True):
+                own = words_of(t)
+                pos, at = np.array([m["pos"] for m in met]), np.array([m["place"] for m in met])
+                first = len(_windows(t)[0])
+                ids.append(c)
+                texts.append(_restore(t, np.arange(len(met)), at, pos - first, own, [m["word"] for m in met], [m["chain"] for m in met]))
+            yield batch_of(made, {"chunk_id": ids, "text": texts})
 
-    met = rows.mapInArrow(tokens, "chunk_id string, key bigint, place bigint, lost boolean").join(table.select("key"), "key", "left_semi")
-    per = met.groupBy("chunk_id").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("lost").alias("lost"))
-    return per.where("low < 0 or low < high or lost").select("chunk_id")
+    return named.mapInArrow(put_back, "chunk_id string, text string")
 
 
 _STRETCH = re.compile("[^\x00-\x7f�]+(?:[\x20-\x7e]{1,3}[^\x00-\x7f�]+)*")

@@ -110,6 +110,19 @@ def test_p3(spark):
         p3.TABLE_LIMIT = keep
 
 
+def test_p3_joined_restores_as_sent(spark):
+    rows, bad = garbled_corpus()
+    df = chunks(spark, rows + bad + [(None, "s", "z", bad[0][3]), bad[3], ("g3", "s", "z", bad[1][3]), *ODD])
+    want = sorted((r.chunk_id or "", r.text) for r in p3.restored_texts(df).collect())
+    p3.TABLE_LIMIT, keep = 0, p3.TABLE_LIMIT
+    try:
+        got = p3.restored_texts(df)
+        assert got.columns == ["chunk_id", "text"]
+        assert sorted((r.chunk_id or "", r.text) for r in got.collect()) == want and len(want) == len(bad) + 3
+    finally:
+        p3.TABLE_LIMIT = keep
+
+
 def test_p3_chains_round_trip():
     for c in p3.CHAINS:
         g = p3.garbled("检出率", c)
