@@ -8,8 +8,8 @@ that can end a sentence (etc., usw., a.m.) do so before a word that the evidence
 Script rules: 。！？ end without a blank, the danda ends Devanagari sentences, Thai units are parted by blanks that don't touch a digit,
 quotations, dash-led speech and brackets hold their marks, an ellipsis ends nothing, a line break always ends a unit.
 
-The evidence handed to the tasks is bounded: tokens with at least LEAST occurrences, and of these at most MAX_EVIDENCE with the
-most occurrences.
+The evidence covers every token with at least LEAST occurrences. What is handed to all tasks is bounded: the MAX_EVIDENCE tokens with
+the most occurrences; where there are more, the others are joined to the texts that ask for them.
 
 Defined results: null and blank texts have no unit; repeated rows of a chunk id give their units once (found) or with
 their text (sentences); invisible characters are skipped in decisions but counted in positions.
@@ -18,7 +18,8 @@ their text (sentences); invisible characters are skipped in decisions but counte
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of
 from quillspark.llm.p01_canonical import LOOKALIKES
-from quillspark.session import spread
+from quillspark.session import spread, staged
 
 LEAST, MAX_EVIDENCE = 10, 300_000
 # Prior knowledge for corpora too small to show it. Titles and short forms that never end a sentence.
@@ -81,11 +82,11 @@ class Evidence:
     """Decides on full stops from the counts of a document, then of the corpus, then from prior knowledge."""
 
     def __init__(self, stops: dict[str, tuple[int, int, int]], words: dict[str, tuple[int, int]]):
-        self.kinds, self.enders = {}, set()
+        self.kinds, self.enders = {}, {}
         for t, (low, eol, cap) in stops.items():
             n = low + eol + cap
             if eol * 20 >= n:
-                self.enders.add(t)
+                self.enders[t] = True
             if eol * 200 < n:
                 self.kinds[t] = "never"
             elif low * 20 > n:
@@ -94,6 +95,19 @@ class Evidence:
                 self.kinds[t] = "word"
         self.words = words
 
+    @staticmethod
+    def of(rows) -> Evidence:
+        """From rows of `corpus_evidence`."""
+        return Evidence({r["token"]: (r["x"], r["y"], r["z"]) for r in rows if r["what"] == 0}, {r["token"]: (r["x"], r["y"]) for r in rows if r["what"] == 1})
+
+    def beside(self, rows) -> Evidence:
+        """This evidence and that of further rows."""
+        if not rows:
+            return self
+        more, out = Evidence.of(rows), copy(self)
+        out.kinds, out.enders, out.words = (ChainMap(a, b) for a, b in ((more.kinds, self.kinds), (more.enders, self.enders), (more.words, self.words)))
+        return out
+
     def kind(self, token: str, own: Counter) -> str:
         known = self.kinds.get(token)
         if token in NEVER:
@@ -209,15 +223,37 @@ def line_ends(line: str, ev: Evidence, own: Counter) -> list[int]:
     return ends
 
 
-def unit_ends(text: str, ev: Evidence) -> list[int]:
-    """1-based positions of the last character of each unit of the text."""
+def _folded(text: str) -> tuple[str, list[int] | None]:
+    """The text as decisions see it, and the places of its characters where invisible ones were left out."""
     if not _ODD.search(text):
-        folded, at = text, None
-    elif _HIDDEN.search(text):
+        return text, None
+    if _HIDDEN.search(text):
         at = [i for i, c in enumerate(text) if not _HIDDEN.match(c)]
-        folded = "".join(text[i] for i in at).translate(_FOLD)
-    else:
-        folded, at = text.translate(_FOLD), None
+        return "".join(text[i] for i in at).translate(_FOLD), at
+    return text.translate(_FOLD), None
+
+
+def asked(text: str) -> set[tuple[int, str]]:
+    """(0, token) and (1, word) of all evidence that the units of a text may ask for."""
+    out = set()
+    for line in _folded(text)[0].split("\n"):
+        stop = len(line.rstrip())
+        for m in _MARK.finditer(line):
+            if m[0] not in (".", "．"):
+                continue
+            j = m.end()
+            while j < stop and line[j] in "”»」』）)》】’]":
+                j += 1
+            if j < stop and line[j].isspace():
+                out.add((0, token_of(line[: m.start()])))
+                if w := re.match(r"\w+", line[j:stop].lstrip()):
+                    out.add((1, w[0]))
+    return out
+
+
+def unit_ends(text: str, ev: Evidence) -> list[int]:
+    """1-based positions of the last character of each unit of the text."""
+    folded, at = _folded(text)
     own: Counter = Counter()
     if "." in folded:
         evidence(folded, own, own)
@@ -229,8 +265,8 @@ def unit_ends(text: str, ev: Evidence) -> list[int]:
     return out
 
 
-def corpus_evidence(chunks: DataFrame) -> Evidence:
-    """Counts over all texts of the table; what reaches the driver is bounded by MAX_EVIDENCE."""
+def corpus_evidence(chunks: DataFrame) -> tuple[Evidence, DataFrame | None]:
+    """Counts over all texts of the table: the MAX_EVIDENCE most frequent, and the table of all where there are more."""
     schema = pa.schema([("what", pa.int32()), ("token", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64())])
 
     def rows(stops, words):
@@ -254,13 +290,31 @@ def corpus_evidence(chunks: DataFrame) -> Evidence:
 
     counted = spread(chunks.select("text").where("text is not null")).mapInArrow(count, "what int, token string, x bigint, y bigint, z bigint")
     total = counted.groupBy("what", "token").agg(*[F.sum(c).alias(c) for c in "xyz"]).withColumn("n", F.col("x") + F.col("y") + F.col("z")).where(F.col("n") >= LEAST)
+    total = staged(total, "p4-evidence")
     got = total.orderBy(F.desc("n"), "what", "token").limit(MAX_EVIDENCE).collect()
-    return Evidence({r.token: (r.x, r.y, r.z) for r in got if r.what == 0}, {r.token: (r.x, r.y) for r in got if r.what == 1})
+    return Evidence.of(got), total if total.count() > MAX_EVIDENCE else None
+
+
+def _with_rest(rows: DataFrame, held, total: DataFrame) -> DataFrame:
+    """(chunk_id, text, more): the rows with the evidence they may ask for beyond the one held; texts of equal hash share theirs."""
+    schema = pa.schema([("row", pa.int64()), ("what", pa.int32()), ("token", pa.string())])
+    marked = rows.withColumn("row", F.xxhash64("text"))
+
+    def ask(batches):
+        ev = held.value
+        for b in batches:
+            got = [(r, w, t) for r, x in zip(*b.to_pydict().values(), strict=True) if "." in x or "．" in x for w, t in asked(x) if t not in (ev.words if w else ev.kinds)]
+            yield batch_of(schema, {f.name: [g[j] for g in got] for j, f in enumerate(schema)})
+
+    wants = marked.select("row", "text").mapInArrow(ask, "row bigint, what int, token string").distinct()
+    more = wants.join(total, ["what", "token"]).groupBy("row").agg(F.collect_list(F.struct("what", "token", "x", "y", "z")).alias("more"))
+    return marked.join(more, "row", "left").select("chunk_id", "text", "more")
 
 
 def units(chunks: DataFrame, rows: DataFrame | None = None, texts: bool = False) -> DataFrame:
     """(chunk_id, end_pos), with texts also (seq, sentence), of `rows` (default: all chunks) under the evidence of all chunks."""
-    held = chunks.sparkSession.sparkContext.broadcast(corpus_evidence(chunks))
+    evidence_of, total = corpus_evidence(chunks)
+    held = chunks.sparkSession.sparkContext.broadcast(evidence_of)
     schema = pa.schema([("chunk_id", pa.string()), ("end_pos", pa.int64()), *([("seq", pa.int64()), ("sentence", pa.string())] * texts)])
     kinds = "chunk_id string, end_pos bigint" + ", seq bigint, sentence string" * texts
 
@@ -268,8 +322,8 @@ def units(chunks: DataFrame, rows: DataFrame | None = None, texts: bool = False)
         ev = held.value
         for b in batches:
             out = {f.name: [] for f in schema}
-            for i, t in zip(*b.to_pydict().values(), strict=True):
-                ends = unit_ends(t, ev)
+            for i, t, *more in zip(*b.to_pydict().values(), strict=True):
+                ends = unit_ends(t, ev.beside(more[0]) if more else ev)
                 out["chunk_id"] += [i] * len(ends)
                 out["end_pos"] += ends
                 if texts:
@@ -277,7 +331,8 @@ def units(chunks: DataFrame, rows: DataFrame | None = None, texts: bool = False)
                     out["sentence"] += [t[a:e].strip() for a, e in zip([0, *ends], ends, strict=False)]
             yield batch_of(schema, out)
 
-    return spread((chunks if rows is None else rows).select("chunk_id", "text").where("text is not null")).mapInArrow(cut, kinds)
+    given = spread((chunks if rows is None else rows).select("chunk_id", "text").where("text is not null"))
+    return (given if total is None else _with_rest(given, held, total)).mapInArrow(cut, kinds)
 
 
 def found(chunks: DataFrame) -> DataFrame:

@@ -165,6 +165,19 @@ def test_p4_table(spark):
     assert p4.found(df.limit(0)).count() == 0
 
 
+def test_p4_evidence_beyond_the_bound(spark):
+    rows = [(f"a{i}", "s", "d", "They met gen. adams here, and lt. baker too. A visit to Xanten, as Xanten said, was short.") for i in range(20)]
+    rows += [("t", "s", "d", "Then gen. Xanten left. So lt. Xanten stayed. Zed. Done."), (None, "s", "d", "See gen. Adams. End."), ("t", "s", "d", "Then gen. Xanten left. So lt. Xanten stayed. Zed. Done.")]
+    df = chunks(spark, rows, "verbatim_short_excerpt")
+    want = sorted((r.chunk_id or "", r.end_pos) for r in p4.units(df).collect())
+    p4.MAX_EVIDENCE, keep = 1, p4.MAX_EVIDENCE
+    try:
+        assert sorted((r.chunk_id or "", r.end_pos) for r in p4.units(df).collect()) == want
+    finally:
+        p4.MAX_EVIDENCE = keep
+    assert {e for c, e in want if c == "t"} == {22, 44, 49, 55}
+
+
 def pages(n, host="h"):
     names = ["".join(p) for p in zip("甲乙丙丁戊己庚辛壬癸" * 6, "子丑寅卯辰巳午未申酉戌亥" * 5)]
     rng = random.Random(5)
