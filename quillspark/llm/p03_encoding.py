@@ -1,7 +1,7 @@
 """Problem 3: garbled text from wrong character encoding.
 
 The distinct clean words of the corpus are counted: words of spaced scripts that hold a character beyond ASCII (digits as
-one class), and pairs of neighbouring characters for scripts without spaces. For every encoding chain (written in one
+one class), and pairs of neighbouring characters for scripts without spaces and for Greek, Cyrillic, Hebrew, Arabic and Devanagari. For every encoding chain (written in one
 encoding, read in another, once or twice) the garbled form of every word with at least LEAST occurrences is generated. Garbled pairs
 are keyed by their first three characters (two where there are no more). The tokens of a document, its words and the windows of
 two and three characters beyond ASCII, are hash-joined against this table. A garbled form counts only while it is at
@@ -124,7 +124,7 @@ def _word_key(w: str) -> int:
 
 
 _NO_SPACES = re.compile(r"[⺀-鿿฀-๿가-힣]")
-_CLEAN_PAIR = re.compile(r"[⺀-鿿぀-ヿ぀-鿿가-힣฀-๿、。，！？：；（）“”‘’「」《》…—·]{2}")
+_CLEAN_PAIR = re.compile(r"[\u0370-\u03ff\u0400-\u04ff\u0590-\u05ff\u0600-\u06ff\u0900-\u097f⺀-鿿぀-ヿ぀-鿿가-힣฀-๿、。，！？：；（）“”‘’「」《》…—·]{2}")
 
 
 def corpus_words(chunks: DataFrame) -> DataFrame:

@@ -110,6 +110,16 @@ def test_p3(spark):
         p3.TABLE_LIMIT = keep
 
 
+def test_p3_scripts_without_ascii(spark):
+    texts = ["बुखार और खाँसी के रोगी अस्पताल में भर्ती हुए।", "пациенты посещали больницу каждую неделю", "οι ασθενείς πήγαν στο νοσοκομείο", "ذهب المرضى إلى المستشفى", "החולים הלכו לבית החולים"]
+    clean = [(f"c{i}-{j}", "s", "d", t) for i, t in enumerate(texts) for j in range(8)]
+    bad = [(f"g{i}", "s", "d", t.encode().decode("latin-1")) for i, t in enumerate(texts)]
+    df = chunks(spark, clean + bad)
+    assert {r.chunk_id for r in p3.found(df).collect()} == {b[0] for b in bad}
+    back = {r.chunk_id: r.text for r in p3.restored_texts(df).collect()}
+    assert "खाँसी" in back["g0"] or "अस्पताल" in back["g0"]
+
+
 def test_p3_joined_restores_as_sent(spark):
     rows, bad = garbled_corpus()
     df = chunks(spark, rows + bad + [(None, "s", "z", bad[0][3]), bad[3], ("g3", "s", "z", bad[1][3]), *ODD])
