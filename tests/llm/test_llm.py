@@ -369,3 +369,31 @@ def test_windows_are_maximal_sums():
 
     s = np.array([-1.2, 5, 5, -1.2, 5, *[-1.2] * 20, 9.5, -1.2])
     assert [(a, b) for a, b, _ in p10.windows(s, 9.0)] == [(1, 5), (25, 26)]
+
+
+def test_p10_places_and_coverage():
+    import numpy as np
+
+    t = "İX 2024-05 {{ page.title }} Ω99"
+    assert len(p10.places(t)) == len(p10.shaped(t))
+    assert [t[i].lower()[0] for i in p10.places(t)[:3]] == [p10.shaped(t)[0], t[0].lower()[0], "x"]
+    assert p10.covered([(0, 5, 9.0, 0), (3, 8, 9.0, 1), (20, 21, 9.0, 0)]) == 9
+    m = p10.Model(np.array([1], np.uint64), np.zeros((2, 1)))
+    assert m.spans("") == [] and m.spans("a") == []
+
+
+def test_p10_models_find_phrases_of_families_they_never_saw(spark):
+    """Every fifth family of either grammar is kept from the models; documents that hold its phrases must come out nevertheless."""
+    prose = [(i, f"Nurses met older adults with dry cough in ward {i}. 护士对第{i}社区的孕妇进行随访，入秋以后也要戒烟限酒。") for i in range(300)]
+    parts = [[x.strip().split("\n") for x in (p10.FILLER, p10.NOTICES)], [[], []]]
+    held = []
+    for m in (0, 1):
+        parts[1][m] = [x for k, x in enumerate(parts[0][m]) if k % 5 != 2]
+        held += [x for k, x in enumerate(parts[0][m]) if k % 5 == 2]
+    rows = [(1000 + k, prose[k][1] + "\n" + p10.phrases(x)[0][0] + "\n" + prose[k + 1][1]) for k, x in enumerate(held)]
+    df = documents(spark, prose + rows)
+    model = p10.fit(df, "\n".join(parts[1][0]), "\n".join(parts[1][1]))
+    hit = sum(p10.covered(model.spans(t)) >= p10.COVER for _, t in rows)
+    print("held-out families found:", hit, "of", len(rows))
+    assert hit >= 0.6 * len(rows)
+    assert not any(model.spans(t) for _, t in prose)
