@@ -2,11 +2,11 @@
 
 Questions are reduced to NFKC, lower case, letters and digits; equal ones become one record with members. Evaluation
 records are cut by hash into shards of at most SHARD records. For each shard an Aho-Corasick automaton holds, of
-every record, its grams (distinct 3-character substrings) that are rarest in the shard: |A| - ceil(t |A|) + DEPTH of
-them. A partner of Jaccard similarity t or more has at least ceil(t |A|) grams of A, so at least min(DEPTH, ceil(t |A|))
-of these patterns, so no partner is missed. All training texts are scanned against each shard; matched grams that
-are met give the candidates, whose matches are merged into the coverage of the evaluation record (the share of its
-grams that the training text holds), and the exact similarity decides.
+every record, its passages (distinct 3-character substrings) that are rarest in the shard: |A| - ceil(t |A|) + d of
+them, d = max(2, DEPTH |A|). A partner of Jaccard similarity t or more has at least ceil(t |A|) grams of A, so at least min(d, ceil(t |A|))
+of these patterns: no partner is missed, and as d grows with the record, a text that shares but a common phrase or two is no candidate.
+All training texts are scanned against each shard; the exact similarity of the candidates decides, and the matched intervals of
+an evaluation record are merged into its coverage (the share of its characters).
 
 Scale: work is (shard x slice of training texts); a slice is a bounded group of a shuffle, so a lost executor
 costs its slices only, and nothing is collected. Copies are collapsed before the join; `found` expands them, because TESTDATA.md
@@ -31,7 +31,7 @@ from quillspark.llm.common import batch_of, h64
 from quillspark.llm.p09_leakage import reduced
 from quillspark.session import spread, staged
 
-THRESHOLD, DEPTH, SHARD, SLICE = 0.7, 5, 20_000, 40_000
+THRESHOLD, DEPTH, SHARD, SLICE = 0.7, 0.15, 20_000, 10_000
 
 
 def grams(text: str) -> set[str]:
@@ -50,7 +50,17 @@ def reduced_questions(queries: DataFrame) -> DataFrame:
     return spread(queries.select("sample_id", "split", "source", "question")).mapInArrow(red, "sample_id string, split string, source string, norm string, key bigint")
 
 
-def _scan(shard: pd.DataFrame, texts: pd.DataFrame, threshold: float, depth: int):
+def _covered(text: str, other: set[str]) -> float:
+    """Share of the text's characters in its intervals that match passages of the other text, intervals merged."""
+    n, end = 0, 0
+    for i in range(len(text) - 2):
+        if text[i : i + 3] in other:
+            n += i + 3 - max(i, end)
+            end = i + 3
+    return n / len(text)
+
+
+def _scan(shard: pd.DataFrame, texts: pd.DataFrame, threshold: float, depth: float):
     """(evaluation key, training key, similarity, coverage) of all pairs in one shard and slice."""
     import ahocorasick
 
@@ -59,34 +69,33 @@ def _scan(shard: pd.DataFrame, texts: pd.DataFrame, threshold: float, depth: int
     needed, post = [], {}
     for k, s in enumerate(sets):
         most = math.ceil(threshold * len(s) - 1e-9)
-        rare = sorted(s, key=lambda g: (df[g], g))[: len(s) - most + depth]
-        needed.append(min(depth, most))
-        for g in rare:
+        need = min(most, max(2, math.ceil(depth * len(s))))
+        for g in sorted(s, key=lambda g: (df[g], g))[: len(s) - most + need]:
             post.setdefault(g, []).append(k)
+        needed.append(need)
     auto = ahocorasick.Automaton()
     for g, ks in post.items():
         auto.add_word(g, (g, np.array(ks, np.int32)))
     auto.make_automaton()
-    needed_of = np.array(needed, np.int32)
-    keys = shard["key"].to_numpy()
+    needed_of = np.array(needed)
+    keys, norms = shard["key"].to_numpy(), shard["norm"].tolist()
     for key, text in zip(texts["t_key"].to_numpy(), texts["t_norm"], strict=True):
         met = dict(hit for _, hit in auto.iter(text))
         if not met:
             continue
-        ids, n = np.unique(np.concatenate(list(met.values())), return_counts=True)
-        ids = ids[n >= needed_of[ids]]
+        ids = np.flatnonzero(np.bincount(np.concatenate(list(met.values())), minlength=len(sets)) >= needed_of)
         if not len(ids):
             continue
         other = grams(text)
-        for k in ids:
+        for k in ids.tolist():
             own = sets[k]
             both = len(own & other)
             alike = both / (len(own) + len(other) - both)
             if alike >= threshold - 1e-12:
-                yield int(keys[k]), int(key), alike, both / len(own)
+                yield int(keys[k]), int(key), alike, _covered(norms[k], other)
 
 
-def record_pairs(norm: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, shard: int = SHARD, part: int = SLICE) -> DataFrame:
+def record_pairs(norm: DataFrame, threshold: float = THRESHOLD, depth: float = DEPTH, shard: int = SHARD, part: int = SLICE) -> DataFrame:
     """(eval_key, train_key, similarity, coverage) between distinct reduced texts."""
     side = norm.withColumn("train", F.col("split") == "train").select("key", "norm", "train").distinct()
     evals, trains = side.where("not train").select("key", "norm"), side.where("train").select("key", "norm")
