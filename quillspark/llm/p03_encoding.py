@@ -2,17 +2,18 @@
 
 The distinct clean words of the corpus are counted: words of spaced scripts that hold a character beyond ASCII (digits as
 one class), and pairs of neighbouring characters for scripts without spaces and for Greek, Cyrillic, Hebrew, Arabic and Devanagari. For every encoding chain (written in one
-encoding, read in another, once or twice) the garbled form of every word with at least LEAST occurrences is generated. Garbled pairs
+encoding, read in another, once or twice) the garbled form of every distinct word is generated. Garbled pairs
 are keyed by their first three characters (two where there are no more). The tokens of a document, its words and the windows of
-two and three characters beyond ASCII, are hash-joined against this table. A garbled form counts only while it is at
-most RATIO as frequent in the corpus as the word it comes from, so that clean words that look like garbled ones stay.
+two and three characters beyond ASCII, are hash-joined against this table. A garbled form counts where its own characters show it
+(`plain_sign`: a letter of a UTF-8 lead byte before the sign of a continuation byte, or several signs of which some are no letters), however frequent it is; any other
+form counts while it is at most RATIO as frequent in the corpus as the word it comes from, so that clean words that look like garbled ones stay.
 A chunk is affected with one garbled word, or with two windows at different places (one, if it holds a replacement or C1 control character).
 
 Restoring: a garbled word is replaced by its verified original; a stretch of windows is re-encoded by the chain that most of its
 windows name and kept only if garbling the result gives the stretch again.
 
 Scale: counts are aggregated a batch before the shuffle; the table is distributed to the workers as sorted hashes while it has at most
-TABLE_LIMIT entries (96 MB), and is joined with the exploded tokens beyond that.
+TABLE_LIMIT entries (96 MB; a sixth of them where words go along for restoring), and is joined with the exploded tokens beyond that.
 
 Defined results: null and empty texts are never affected; repeated rows of a chunk id come out once; text lost to
 replacement characters is found, and stays as it is.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64
 from quillspark.session import spread, staged
 
-LEAST, RATIO, TABLE_LIMIT = 3, 0.25, 12_000_000
+RATIO, TABLE_LIMIT = 0.25, 12_000_000
 
 # Encodings a text may have been written in, and those it may have been read in.
 WRITTEN = ("utf-8", "gb18030", "big5", "cp932", "euc_jp", "cp1252")
@@ -44,7 +45,8 @@ _EDGE = re.compile(r"^[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x2f\x3a-\x4
 _DIGITS = re.compile(r"\d+")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 _ALPHA = re.compile(r"[A-Za-z0-9]")
-_MAX_WORD = 40
+# Signs of a UTF-8 text read in one byte a character: a lead byte, then a continuation byte, without those that stand after letters in clean text.
+_LEAD = re.compile("[Â-ô](?:[\x80-\x9f¢-¦¨-ª¬-¯±-´µ¶¸-º¼-¾]|[‚ƒ„†‡ˆ‰Š‹ŒŽ•˜™š›œžŸ€](?![a-zà-ÿ]))")
 _FULL = 0xFFFFFFFFFFFFFFFF
 
 
@@ -86,8 +88,6 @@ def words_of(text: str) -> list[str]:
     """Words that hold ASCII letters or digits and a character beyond ASCII, or a single such character; digits as one class, ASCII marks at the edges cut."""
     out = []
     for w in _WORD.findall(text):
-        if len(w) > _MAX_WORD:
-            continue
         w = _EDGE.sub("", w)
         if w and (_ALPHA.search(w) or len(w) == 1 and not w.isalpha()):
             out.append(_DIGITS.sub("0", w))
@@ -136,7 +136,7 @@ def corpus_words(chunks: DataFrame) -> DataFrame:
             texts = [t for t in b.column(0).to_pylist() if not t.isascii()]
             words = Counter()
             for t in texts:
-                words.update(words_of(t))
+                words.update(w for w in words_of(t) if not _NO_SPACES.search(w) and not _LOST.search(w) and not _LEAD.search(w))
             a = codepoints("\n".join(texts)).astype(np.int64)
             hi = a > 127
             at = np.flatnonzero(hi[:-1] & hi[1:])
@@ -145,19 +145,28 @@ def corpus_words(chunks: DataFrame) -> DataFrame:
             keep = [k for k, p in enumerate(pairs) if _CLEAN_PAIR.fullmatch(p)]
             yield batch_of(schema, {"kind": [0] * len(words) + [1] * len(keep), "word": [*words, *(pairs[k] for k in keep)], "n": [*words.values(), *n[keep].tolist()]})
 
-    return spread(chunks.select("text").where("text is not null")).mapInArrow(count, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return spread(chunks.select("text").where("text is not null")).mapInArrow(count, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def plain_sign(form: str) -> bool:
+    """Whether the characters of a form alone show that it is garbled."""
+    if _LEAD.search(form):
+        return True
+    high = [c for c in form if c > "\x7f"]
+    return len(high) >= 3 and any(c.isalpha() and c < "ɐ" for c in high) and any(not c.isalnum() and c not in _COMMON for c in high)
+
+
+_COMMON = frozenset("«»°·¡¿§–—‘’“”…„‚‹›、。，！？：；（）《》「」")
 
 
 def garbled_forms(words: DataFrame) -> DataFrame:
-    """(key, kind, word, chain, n): the garbled forms of all words under all chains; a form of several words keeps the most frequent one."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("word", pa.string()), ("chain", pa.int32()), ("n", pa.int64())])
+    """(key, kind, word, chain, n, sure): the garbled forms of all words under all chains; a form of several words keeps the most frequent one."""
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("word", pa.string()), ("chain", pa.int32()), ("n", pa.int64()), ("sure", pa.bool_())])
 
     def make(batches):
         for b in batches:
             cols = {f.name: [] for f in schema}
             for kind, w, n in zip(*b.to_pydict().values(), strict=True):
-                if _LOST.search(w) or kind == 0 and _NO_SPACES.search(w):
-                    continue
                 for c, chain in enumerate(CHAINS):
                     g = garbled(w, chain)
                     if g is None or any(x.isspace() for x in g):
@@ -165,18 +174,19 @@ def garbled_forms(words: DataFrame) -> DataFrame:
                     if kind == 1:
                         if len(g) < 2 or any(x < "\x80" for x in g[:3]):
                             continue
+                        g = g[:3]
                         key = _window_key(g)
                     else:
                         g = _DIGITS.sub("0", _EDGE.sub("", g))
                         if not g or g.isascii() or len(g) > 1 and not _ALPHA.search(g):
                             continue
                         key = _word_key(g)
-                    for f, x in zip(cols, (key - (1 << 64) if key >> 63 else key, kind, w, c, n), strict=True):
+                    for f, x in zip(cols, (key - (1 << 64) if key >> 63 else key, kind, w, c, n, plain_sign(g)), strict=True):
                         cols[f].append(x)
             yield batch_of(schema, cols)
 
-    forms = spread(words).mapInArrow(make, "key bigint, kind int, word string, chain int, n bigint")
-    return forms.groupBy("key").agg(F.max(F.struct("n", "kind", "word", "chain")).alias("f")).select("key", "f.kind", "f.word", "f.chain", "f.n")
+    forms = spread(words).mapInArrow(make, "key bigint, kind int, word string, chain int, n bigint, sure boolean")
+    return forms.groupBy("key").agg(F.max(F.struct("n", "kind", "word", "chain")).alias("f"), F.max("sure").alias("sure")).select("key", "f.kind", "f.word", "f.chain", "f.n", "sure")
 
 
 def _token_keys(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -213,7 +223,7 @@ def table_of(chunks: DataFrame) -> DataFrame:
             yield batch_of(schema, {"key": k.view(np.int64), "seen": n})
 
     seen = spread(chunks.select("text").where("text is not null")).mapInArrow(count, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
-    return staged(forms.join(seen, "key").where(F.col("seen") <= F.col("n") * RATIO).select("key", "kind", "word", "chain"), "p3-table")
+    return staged(forms.join(seen, "key").where(F.col("sure") | (F.col("seen") <= F.col("n") * RATIO)).select("key", "kind", "word", "chain"), "p3-table")
 
 
 def _hits(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -234,7 +244,7 @@ def _run(chunks: DataFrame, restore: bool) -> DataFrame:
     rows = spread(chunks.select("chunk_id", "text").where("text is not null"))
     kinds = "chunk_id string, text string" if restore else "chunk_id string"
     schema = pa.schema([("chunk_id", pa.string()), *([("text", pa.string())] * restore)])
-    if table.count() > TABLE_LIMIT:
+    if table.count() > (TABLE_LIMIT // 6 if restore else TABLE_LIMIT):
         return _joined(rows, table, restore)
     got = table.toArrow().sort_by("key")
     keys = got.column("key").to_numpy().view(U64)

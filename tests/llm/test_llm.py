@@ -397,3 +397,16 @@ def test_p10_models_find_phrases_of_families_they_never_saw(spark):
     print("held-out families found:", hit, "of", len(rows))
     assert hit >= 0.6 * len(rows)
     assert not any(model.spans(t) for _, t in prose)
+
+
+def test_p3_scripts_rare_words_and_frequent_garbling(spark):
+    """Russian, Greek and Hindi stretches are restored, a word seen once gives forms, and a garbling more frequent than its original is found."""
+    clean = ["Врач советует регулярно измерять давление", "Ο γιατρός συνιστά τακτικό έλεγχο της πίεσης", "डॉक्टर नियमित जाँच की सलाह देते हैं", "Die Fußgängerbrücke bleibt offen"]
+    rows = [(f"c{i}", "s", f"d{i}", t) for i, t in enumerate(clean * 6)]
+    rows.append(("once", "s", "d", "Selten: Zürichseeüberfahrt"))
+    bad = [(f"g{i}", "s", f"e{i}", t.encode().decode("latin-1")) for i, t in enumerate(clean[:3])]
+    often = [(f"m{i}", "s", f"m{i}", "ZÃ¼richseeÃ¼berfahrt") for i in range(40)]
+    df = chunks(spark, rows + bad + often)
+    assert {r.chunk_id for r in p3.found(df).collect()} == {b[0] for b in bad + often}
+    back = {r.chunk_id: r.text for r in p3.restored_texts(df).collect()}
+    assert [back[f"g{i}"] for i in range(3)] == clean[:3] and back["m0"] == "Zürichseeüberfahrt"
