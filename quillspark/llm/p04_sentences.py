@@ -8,8 +8,9 @@ that can end a sentence (etc., usw., a.m.) do so before a word that the evidence
 Script rules: 。！？ end without a blank, the danda ends Devanagari sentences, Thai units are parted by blanks that don't touch a digit,
 quotations, dash-led speech and brackets hold their marks, an ellipsis ends nothing, a line break always ends a unit.
 
-The evidence covers every token with at least LEAST occurrences. What is handed to all tasks is bounded: the MAX_EVIDENCE tokens with
-the most occurrences; where there are more, the others are joined to the texts that ask for them.
+Order of evidence: unambiguous occurrences in the document, then those in the corpus, then the short lists below, which act only where both are silent.
+The corpus evidence covers every token, however rare; what is handed to all tasks leaves out the tokens that decide as an unknown one would, and holds at most
+the MAX_EVIDENCE rows with the most occurrences; where there are more, the others are joined to the texts that ask for them.
 
 Defined results: null and blank texts have no unit; repeated rows of a chunk id give their units once (found) or with
 their text (sentences); invisible characters are skipped in decisions but counted in positions.
@@ -29,7 +30,7 @@ from quillspark.llm.common import batch_of
 from quillspark.llm.p01_canonical import LOOKALIKES
 from quillspark.session import spread, staged
 
-LEAST, MAX_EVIDENCE = 10, 300_000
+MAX_EVIDENCE = 300_000
 # Prior knowledge for corpora too small to show it. Titles and short forms that never end a sentence.
 NEVER = frozenset("dr prof mr mrs ms st sr sra dra mme m no nr fig vs cf sec vol art pág núm ca bzw env approx aprox p s e z d i.e e.g डॉ".split())
 # Short forms that can end one.
@@ -42,7 +43,9 @@ _FOLD |= {0x1D7CE + i: str(i % 10) for i in range(50)}
 _FOLD |= dict.fromkeys([0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9], " ")
 _ODD = re.compile("[^ -~¡-ɏ一-鿿ऀ-ॿ฀-๿぀-ヿ。-！，、：；？“”‘’（）「」《》【】…—–„‚«»‹›]|[ ]")
 _MARK = re.compile(r"[.!?。！？।॥｡．]+")
-_TOKEN = re.compile(r"[^\s.,;:!?(（“„«‘「\"。！？，、：；”’»)）]+(?:\.[^\s.,;:!?(（“„«‘「\"。！？，、：；”’»)）]+)*$")
+_CUTS = frozenset(",;:!?(（“„«‘「\"。！？，、：；”’»)）")
+# Occurrences from which shares count; below it only repeated small letters do.
+SOME = 10
 _OPEN = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "【": "】", "‘": "’", "[": "]"}
 _CLOSE = frozenset("”“»」』）)》】’]\"")
 _QUOTES = frozenset("“„«「『‘")
@@ -54,8 +57,12 @@ _STOP = re.compile(r"(?P<t>[^\s.,;:!?(（“„«‘\"。！？，、：；]+(?:
 
 
 def token_of(left: str) -> str:
-    m = _TOKEN.search(left[-40:])
-    return m[0].lower() if m else ""
+    """The token that ends the string, its inner full stops included, in lower case."""
+    i = len(left)
+    while i and left[i - 1] not in _CUTS and not left[i - 1].isspace():
+        i -= 1
+    token = left[i:].rsplit("..", 1)[-1].lstrip(".")
+    return "" if token.endswith(".") else token.lower()
 
 
 def evidence(text: str, stops: Counter, words: Counter) -> None:
@@ -78,21 +85,20 @@ def evidence(text: str, stops: Counter, words: Counter) -> None:
                 words[m[0], "mid"] += 1
 
 
+def corpus_kind(low: int, eol: int, cap: int) -> str:
+    """What occurrences in the corpus say of a full stop after a token: never ends a sentence, mixed, or a word, which is also the answer for unknown ones."""
+    n = low + eol + cap
+    if n < SOME:
+        return "mixed" if low >= 2 and not eol else "word"
+    return "never" if eol * 200 < n else "mixed" if low * 20 > n else "word"
+
+
 class Evidence:
     """Decides on full stops from the counts of a document, then of the corpus, then from prior knowledge."""
 
     def __init__(self, stops: dict[str, tuple[int, int, int]], words: dict[str, tuple[int, int]]):
-        self.kinds, self.enders = {}, {}
-        for t, (low, eol, cap) in stops.items():
-            n = low + eol + cap
-            if eol * 20 >= n:
-                self.enders[t] = True
-            if eol * 200 < n:
-                self.kinds[t] = "never"
-            elif low * 20 > n:
-                self.kinds[t] = "mixed"
-            else:
-                self.kinds[t] = "word"
+        self.kinds = {t: corpus_kind(*c) for t, c in stops.items()}
+        self.enders = {t: True for t, (low, eol, cap) in stops.items() if eol * 20 >= low + eol + cap}
         self.words = words
 
     @staticmethod
@@ -109,14 +115,16 @@ class Evidence:
         return out
 
     def kind(self, token: str, own: Counter) -> str:
-        known = self.kinds.get(token)
-        if token in NEVER:
-            return "never"
-        if known is None and token in MIXED:
-            known = "mixed"
-        if own[token, "low"] and known != "never":
-            return "mixed" if known in ("mixed", None) or token in MIXED else known
-        if known == "word" and token in MIXED:
+        """never, mixed or word: document, then corpus, then lists."""
+        known = self.kinds.get(token) or ("never" if token in NEVER else "mixed" if token in MIXED else None)
+        low, eol = own[token, "low"], own[token, "eol"]
+        if low and eol:
+            return "mixed"
+        if low:
+            return "never" if known == "never" else "mixed"
+        if eol >= 2:
+            return "word"
+        if eol and known == "never":
             return "mixed"
         return known or "word"
 
@@ -131,12 +139,13 @@ class Evidence:
 def _protected(line: str) -> list[tuple[int, int]]:
     """(start, end) of the outermost quotations and brackets that are closed in the line, end exclusive."""
     spans, stack = [], []
+    last: dict[str, int] = {}
     for i, c in enumerate(line):
         if stack and c in _OPEN[line[stack[-1]]]:
             s = stack.pop()
             if not stack:
                 spans.append((s, i + 1))
-        elif c in _OPEN and any(x in line[i + 1 :] for x in _OPEN[c]):
+        elif c in _OPEN and (last[c] if c in last else last.setdefault(c, max(line.rfind(x) for x in _OPEN[c]))) > i:
             stack.append(i)
         elif c in _CLOSE and len(stack) > 1:
             for k in range(len(stack) - 1, -1, -1):
@@ -289,8 +298,12 @@ def corpus_evidence(chunks: DataFrame) -> tuple[Evidence, DataFrame | None]:
         yield rows(stops, words)
 
     counted = spread(chunks.select("text").where("text is not null")).mapInArrow(count, "what int, token string, x bigint, y bigint, z bigint")
-    total = counted.groupBy("what", "token").agg(*[F.sum(c).alias(c) for c in "xyz"]).withColumn("n", F.col("x") + F.col("y") + F.col("z")).where(F.col("n") >= LEAST)
-    total = staged(total, "p4-evidence")
+    total = counted.groupBy("what", "token").agg(*[F.sum(c).alias(c) for c in "xyz"]).withColumn("n", F.col("x") + F.col("y") + F.coalesce("z", F.lit(0)))
+    # tokens that decide as unknown ones do can be left out: words outside the lists, and words that open sentences
+    listed = F.col("token").isin(*sorted(NEVER | MIXED))
+    few = (F.col("n") < SOME) & (F.col("x") >= 2) & (F.col("y") == 0)
+    kept = (F.col("what") == 0) & (listed | few | (F.col("n") >= SOME) & ((F.col("y") * 200 < F.col("n")) | (F.col("x") * 20 > F.col("n"))))
+    total = staged(total.where(kept | (F.col("what") == 1) & (F.col("y") > 3 * F.col("x"))), "p4-evidence")
     got = total.orderBy(F.desc("n"), "what", "token").limit(MAX_EVIDENCE).collect()
     return Evidence.of(got), total if total.count() > MAX_EVIDENCE else None
 

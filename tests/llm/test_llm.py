@@ -410,3 +410,19 @@ def test_p3_scripts_rare_words_and_frequent_garbling(spark):
     assert {r.chunk_id for r in p3.found(df).collect()} == {b[0] for b in bad + often}
     back = {r.chunk_id: r.text for r in p3.restored_texts(df).collect()}
     assert [back[f"g{i}"] for i in range(3)] == clean[:3] and back["m0"] == "Zürichseeüberfahrt"
+
+
+def test_p4_document_overrules_corpus_and_lists():
+    from collections import Counter
+
+    ev = p4.Evidence({"foo": (0, 500, 500), "bar": (300, 0, 0), "abc": (0, 0, 400)}, {})
+    assert ev.kind("dr", Counter()) == "never" and ev.kind("dr", Counter({("dr", "eol"): 5})) == "word"
+    assert ev.kind("foo", Counter()) == "word" and ev.kind("foo", Counter({("foo", "low"): 9})) == "mixed"
+    assert ev.kind("bar", Counter()) == "never" and ev.kind("bar", Counter({("bar", "eol"): 2})) == "word"
+    assert ev.kind("abc", Counter({("abc", "low"): 1, ("abc", "eol"): 1})) == "mixed" and ev.kind("unseen", Counter()) == "word"
+
+
+def test_p4_tokens_and_brackets_of_any_length():
+    long = "x" * 500
+    assert p4.token_of("see " + long) == long and p4.token_of("z.B") == "z.b" and p4.token_of("a..b.c") == "b.c" and p4.token_of("e.") == "" and p4.token_of("") == ""
+    assert p4._protected("(" * 20_000 + "a)") == [] or len(p4._protected("((a) b)")) == 1
