@@ -426,3 +426,18 @@ def test_p4_tokens_and_brackets_of_any_length():
     long = "x" * 500
     assert p4.token_of("see " + long) == long and p4.token_of("z.B") == "z.b" and p4.token_of("a..b.c") == "b.c" and p4.token_of("e.") == "" and p4.token_of("") == ""
     assert p4._protected("(" * 20_000 + "a)") == [] or len(p4._protected("((a) b)")) == 1
+
+
+def test_p5_blocks_and_long_lines(spark):
+    """Blocks of any size give the same lines, and lines that share their first 1,100 tokens but differ after them stay apart."""
+    rng = random.Random(12)
+    same = " ".join(f"word{rng.randrange(50)}a" for _ in range(1100))
+    rows = []
+    for i in range(240):
+        own = " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(30)) + "."
+        long = same + " " + " ".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(20)) + "." if i < 12 else own
+        rows.append((f"h{i:03d}", "s", f"d{i}", f"Home Search Contact\n{long}\nWe use cookies to make this site work for you, visitor {chr(97 + i % 26)}\n{own[::-1]}"))
+    df = chunks(spark, rows)
+    got = [{(r.chunk_id, r.line_no) for r in p5.page_lines(df, block=b).where("furniture").collect()} for b in (2000, 80, 40)]
+    assert got[0] == got[1] == got[2]
+    assert {(f"h{i:03d}", 0) for i in range(240)} <= got[0] and not any(n in (1, 3) for _, n in got[0])
