@@ -12,7 +12,7 @@ A chunk is affected with one garbled word, or with two windows at different plac
 Restoring: a garbled word is replaced by its verified original; a stretch of windows is re-encoded by the chain that most of its
 windows name and kept only if garbling the result gives the stretch again.
 
-Scale: counts are aggregated a batch before the shuffle; the table is distributed to the workers as sorted hashes while it has at most
+Scale: counts are aggregated a batch before the shuffle; tokens that no form can equal are left out by a bitmap of at most 32 MB; the table of the forms that occur is distributed to the workers as sorted hashes while it has at most
 TABLE_LIMIT entries (96 MB; a sixth of them where words go along for restoring), and is joined with the exploded tokens beyond that.
 
 Defined results: null and empty texts are never affected; repeated rows of a chunk id come out once; text lost to
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64
 from quillspark.session import spread, staged
 
-RATIO, TABLE_LIMIT = 0.25, 12_000_000
+RATIO, TABLE_LIMIT, MAX_BITS = 0.25, 12_000_000, 28
 
 # Encodings a text may have been written in, and those it may have been read in.
 WRITTEN = ("utf-8", "gb18030", "big5", "cp932", "euc_jp", "cp1252")
@@ -136,7 +136,8 @@ def corpus_words(chunks: DataFrame) -> DataFrame:
             texts = [t for t in b.column(0).to_pylist() if not t.isascii()]
             words = Counter()
             for t in texts:
-                words.update(w for w in words_of(t) if not _NO_SPACES.search(w) and not _LOST.search(w) and not _LEAD.search(w))
+                words.update(words_of(t))
+            words = Counter({w: n for w, n in words.items() if not (_NO_SPACES.search(w) or _LOST.search(w) or _LEAD.search(w))})
             a = codepoints("\n".join(texts)).astype(np.int64)
             hi = a > 127
             at = np.flatnonzero(hi[:-1] & hi[1:])
@@ -160,8 +161,8 @@ _COMMON = frozenset("«»°·¡¿§–—‘’“”…„‚‹›、。，！
 
 
 def garbled_forms(words: DataFrame) -> DataFrame:
-    """(key, kind, word, chain, n, sure): the garbled forms of all words under all chains; a form of several words keeps the most frequent one."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("word", pa.string()), ("chain", pa.int32()), ("n", pa.int64()), ("sure", pa.bool_())])
+    """(key, kind, word, chain, n): the garbled forms of all words under all chains; a form of several words keeps the most frequent one."""
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("word", pa.string()), ("chain", pa.int32()), ("n", pa.int64())])
 
     def make(batches):
         for b in batches:
@@ -174,19 +175,20 @@ def garbled_forms(words: DataFrame) -> DataFrame:
                     if kind == 1:
                         if len(g) < 2 or any(x < "\x80" for x in g[:3]):
                             continue
-                        g = g[:3]
                         key = _window_key(g)
                     else:
                         g = _DIGITS.sub("0", _EDGE.sub("", g))
                         if not g or g.isascii() or len(g) > 1 and not _ALPHA.search(g):
                             continue
                         key = _word_key(g)
-                    for f, x in zip(cols, (key - (1 << 64) if key >> 63 else key, kind, w, c, n, plain_sign(g)), strict=True):
+                    for f, x in zip(cols, (key - (1 << 64) if key >> 63 else key, kind, w, c, n), strict=True):
                         cols[f].append(x)
             yield batch_of(schema, cols)
 
-    forms = spread(words).mapInArrow(make, "key bigint, kind int, word string, chain int, n bigint, sure boolean")
-    return forms.groupBy("key").agg(F.max(F.struct("n", "kind", "word", "chain")).alias("f"), F.max("sure").alias("sure")).select("key", "f.kind", "f.word", "f.chain", "f.n", "sure")
+    # few rows with much work each
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    forms = words.repartition(4 * cores).mapInArrow(make, "key bigint, kind int, word string, chain int, n bigint")
+    return forms.groupBy("key").agg(F.max(F.struct("n", "kind", "word", "chain")).alias("f")).select("key", "f.kind", "f.word", "f.chain", "f.n")
 
 
 def _token_keys(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -196,34 +198,51 @@ def _token_keys(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.concatenate((k, np.array([_word_key(w) for w in words], U64))), np.concatenate((at, np.full(len(words), -1))), words
 
 
+def _form_of(kind: int, word: str, chain: int) -> str:
+    g = garbled(word, CHAINS[chain])
+    return g[:3] if kind == 1 else _DIGITS.sub("0", _EDGE.sub("", g))
+
+
+def key_bitmap(forms: DataFrame) -> tuple[np.ndarray, int]:
+    """(words of 64 bits, number b of bits of a key that count): which leading b bits the keys have; b grows with the table up to MAX_BITS, so at most 32 MB."""
+    bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(16 * max(1, forms.count()))))))
+    slot = F.shiftrightunsigned("key", 64 - bits)
+    got = forms.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U64)
+    return out, bits
+
+
 def table_of(chunks: DataFrame) -> DataFrame:
-    """(key, kind, word, chain): the garbled forms that occur in the corpus and are rare beside their originals."""
+    """(key, kind, word, chain): the garbled forms that occur in the corpus and show it, or are rare beside their originals."""
     forms = staged(garbled_forms(corpus_words(chunks)), "p3-forms")
     schema = pa.schema([("key", pa.int64()), ("seen", pa.int64())])
-
-    if forms.count() <= TABLE_LIMIT:
-        keys = forms.select("key").toArrow().column(0).to_numpy()
-        sent = chunks.sparkSession.sparkContext.broadcast(np.sort(keys.view(U64)))
-    else:
-        sent = None
+    sent = chunks.sparkSession.sparkContext.broadcast(key_bitmap(forms))
 
     def count(batches):
+        bitmap, bits = sent.value
         for b in batches:
             got: list[np.ndarray] = []
             for t in b.column(0).to_pylist():
                 if t.isascii():
                     continue
                 k = _token_keys(t)[0]
-                if sent is not None:
-                    table = sent.value
-                    i = np.minimum(np.searchsorted(table, k), len(table) - 1)
-                    k = k[table[i] == k] if len(table) else k[:0]
-                got.append(k)
+                slot = k >> U64(64 - bits)
+                got.append(k[(bitmap[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1])
             k, n = np.unique(np.concatenate(got) if got else np.zeros(0, U64), return_counts=True)
             yield batch_of(schema, {"key": k.view(np.int64), "seen": n})
 
     seen = spread(chunks.select("text").where("text is not null")).mapInArrow(count, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
-    return staged(forms.join(seen, "key").where(F.col("sure") | (F.col("seen") <= F.col("n") * RATIO)).select("key", "kind", "word", "chain"), "p3-table")
+    met = forms.join(seen, "key")
+    kept = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("word", pa.string()), ("chain", pa.int32())])
+
+    def judge(batches):
+        for b in batches:
+            d = b.to_pydict()
+            ok = [i for i, (k, w, c, n, s) in enumerate(zip(d["kind"], d["word"], d["chain"], d["n"], d["seen"], strict=True)) if s <= n * RATIO or plain_sign(_form_of(k, w, c))]
+            yield batch_of(kept, {f.name: [d[f.name][i] for i in ok] for f in kept})
+
+    return staged(met.select("key", "kind", "word", "chain", "n", "seen").mapInArrow(judge, "key bigint, kind int, word string, chain int"), "p3-table")
 
 
 def _hits(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
