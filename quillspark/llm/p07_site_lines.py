@@ -2,10 +2,10 @@
 
 Content-defined chunking: every text is reduced to its line forms (no white space, no decimal digits, lower case)
 and cut into pieces where a rolling hash over the last WINDOW characters ends in zero bits. The newline counts as a
-content byte that always cuts, and the window restarts there, so the pieces of a line depend on the line alone. The
-pieces of each source are counted by distinct documents; lines made only of pieces that occur in at least `min_docs`
-documents are candidates, and an exact count of their forms decides. A line in min_docs documents has all its
-pieces in them, so no line is lost.
+content byte that always cuts, and the window restarts there, so the pieces of a line depend on the line alone; without that, lines shorter than a piece would
+share it with their neighbours and could not be told. The pieces of each source are counted by distinct documents, and those that occur in at least `min_docs` of them are repeated. The lines follow from
+the places of the pieces: a line that is one piece is repeated where that piece is. A line of several pieces, each of which may be repeated for another line's sake, is repeated where all are and, as a check
+that follows, the line as a whole is. A line in min_docs documents has all its pieces in them, so no line is lost.
 
 Hot sources: a piece counts as repeated once min_docs documents are known, so each Arrow batch passes on at most min_docs documents
 of a piece; a third of all rows in one source shrinks to a few rows a batch before the shuffle.
@@ -115,10 +115,11 @@ def repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS, key_limit: int =
                 yield batch_of(_KEY_DOC, {"key": key, "doc": docs})
 
     pieces = staged(_repeated(rows.mapInArrow(piece_docs, "key bigint, doc bigint"), min_docs), "p7-pieces")
+    # only the keys that recur are sent, and only while they are few
     known = np.sort(pieces.toArrow().column(0).to_numpy()) if pieces.count() <= key_limit else None
 
-    out = pa.schema([("chunk_id", pa.string()), ("line_no", pa.int64()), ("key", pa.int64()), ("doc", pa.int64())])
-    more = pa.schema([*out, ("piece", pa.int64()), ("pieces", pa.int64())])
+    out = pa.schema([("chunk_id", pa.string()), ("line_no", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("pieces", pa.int64())])
+    more = pa.schema([*out, ("piece", pa.int64())])
 
     def candidates(batches):
         for b in small_batches(batches):
@@ -142,37 +143,40 @@ def repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS, key_limit: int =
             res = {f.name: [] for f in (more if known is None else out)}
             for k in np.flatnonzero(good):
                 r, j = int(row[at[k]]), int(no[at[k]])
-                if r not in split:
+                if count[k] > 1 and r not in split:
                     split[r] = texts[r].split("\n")
-                form = h64(line_form(split[r][j]), 3)
-                whole = int(mix64(np.array([form], np.int64).view(U64) ^ src[r : r + 1]).view(np.int64)[0])
+                whole = 0
+                if count[k] > 1:
+                    form = h64(line_form(split[r][j]), 3)
+                    whole = int(mix64(np.array([form], np.int64).view(U64) ^ src[r : r + 1]).view(np.int64)[0])
                 for p in range(count[k] if known is None else 1):
                     res["chunk_id"].append(ids[r])
                     res["line_no"].append(j)
                     res["key"].append(whole)
                     res["doc"].append(int(doc[r]))
+                    res["pieces"].append(int(count[k]))
                     if known is None:
                         res["piece"].append(int(key[at[k] + p]))
-                        res["pieces"].append(int(count[k]))
             yield batch_of(more if known is None else out, res)
 
     if known is not None:
-        lines = staged(rows.mapInArrow(candidates, "chunk_id string, line_no bigint, key bigint, doc bigint"), "p7-lines")
+        lines = staged(rows.mapInArrow(candidates, "chunk_id string, line_no bigint, key bigint, doc bigint, pieces bigint"), "p7-lines")
     else:
-        each = rows.mapInArrow(candidates, "chunk_id string, line_no bigint, key bigint, doc bigint, piece bigint, pieces bigint")
+        each = rows.mapInArrow(candidates, "chunk_id string, line_no bigint, key bigint, doc bigint, pieces bigint, piece bigint")
         met = each.join(pieces.withColumnRenamed("key", "piece"), "piece", "left_semi")
         met = met.groupBy("chunk_id", "line_no", "key", "doc").agg(F.count("*").alias("n"), F.max("pieces").alias("pieces"))
-        lines = staged(met.where("n >= pieces").drop("n", "pieces"), "p7-lines")
+        lines = staged(met.where("n >= pieces").drop("n"), "p7-lines")
 
     def few(batches):
         for b in batches:
             key, docs = _few_docs(b.column(0).to_numpy(), b.column(1).to_numpy(), min_docs)
             yield batch_of(_KEY_DOC, {"key": key, "doc": docs})
 
-    forms = staged(_repeated(lines.select("key", "doc").mapInArrow(few, "key bigint, doc bigint"), min_docs), "p7-forms")
+    several = lines.where("pieces > 1")
+    forms = staged(_repeated(several.select("key", "doc").mapInArrow(few, "key bigint, doc bigint"), min_docs), "p7-forms")
     if forms.count() <= key_limit:
         forms = F.broadcast(forms)
-    return lines.join(forms, "key", "left_semi").select("chunk_id", "line_no").distinct()
+    return lines.where("pieces = 1").select("chunk_id", "line_no").union(several.join(forms, "key", "left_semi").select("chunk_id", "line_no")).distinct()
 
 
 def without_repeated_lines(chunks: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
