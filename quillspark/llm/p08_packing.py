@@ -1,8 +1,8 @@
 """Problem 8: filling fixed-capacity containers.
 
 Variable-capacity best-fit decreasing: items of a shard go, longest first, into the open container with the least room that
-still holds them; where none does, the permitted capacity of least cost is opened: the one with the least expected
-waste a token, which is the largest whose remaining supply of items fills it. At the end each container is downsized to
+still holds them; where none does, the permitted capacity of least cost is opened. The cost of a capacity is the share of it that would stay empty if its room
+were filled with the longest items to come that fit, one after the other; equal costs go to the larger capacity. So a capacity is opened that the items to come complete, not always the largest. At the end each container is downsized to
 the smallest permitted capacity that holds its contents. An item above the largest capacity is split into full
 containers and a remainder, which is packed like an item.
 
@@ -37,21 +37,31 @@ def pack(sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int, i
         for k, s in enumerate(range(0, n, top)):
             parts.append((min(top, n - s), i, k, s))
     parts.sort(key=lambda p: (-p[0], p[1], p[2]))
-    left = sum(p[0] for p in parts)
+    rising = [p[0] for p in reversed(parts)]
     rooms: list[tuple[int, int]] = []  # (room, container), sorted
     out, bins = [], 0
-    for size, i, k, s in parts:
+
+    def empty(room: int, to_come: int) -> int:
+        """What stays of a room that the longest of the items to come fill in turn."""
+        hi = to_come
+        while room and hi:
+            hi = bisect.bisect_right(rising, room, 0, hi) - 1
+            if hi < 0:
+                break
+            room -= rising[hi]
+        return room
+
+    for n, (size, i, k, s) in enumerate(parts):
         at = bisect.bisect_left(rooms, (size, -1))
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            # cost of a capacity: the room that even all items still to come can't fill
-            fit = [c for c in small if c >= size]
-            room = min(fit, key=lambda c: (max(0, c - left) / c, -c))
+            fit = small[bisect.bisect_left(small, size) :]
+            to_come = len(parts) - n - 1
+            room = fit[0] if len(fit) == 1 else min(fit, key=lambda c: (empty(c - size, to_come) / c, -c))
             b, bins = bins, bins + 1
         if room > size:
             bisect.insort(rooms, (room - size, b))
-        left -= size
         out.append((i, k, s, size, b))
     return out
 
