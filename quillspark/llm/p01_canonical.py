@@ -2,7 +2,7 @@
 
 The canonical form keeps everything a reader sees and nothing else: NFC; full-width and half-width letters, digits and
 kana, mathematical letters and digits, ligatures, CJK radicals and compatibility ideographs as their plain characters;
-every blank as a space; invisible format characters removed; Cyrillic and Greek letters that look like Latin ones as those.
+every blank as a space, every kind of line end as a line feed; invisible format characters removed; Cyrillic and Greek letters that look like Latin ones as those.
 Letter case, raised, lowered and circled digits, and full-width punctuation stay as they are: they look different.
 
 Method: quick-check properties. A character is stable if it isn't mapped, has combining class 0 and can't compose with
@@ -36,7 +36,9 @@ LOOKALIKES = dict(
     )
 )
 LOOKALIKES.pop("ґ")
-_INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF]
+_INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]
+# Blanks that Unicode doesn't class as such: Hangul fillers and the empty Braille cell. Line ends; a carriage return before a line feed goes first.
+_BLANK, _LINE_END = frozenset("\u115f\u1160\u2800\u3164\uffa0"), frozenset("\x0b\x0c\r\x85\u2028\u2029")
 _PLAIN_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 _LAST = 0x30000
 
@@ -45,8 +47,9 @@ def _mapped(c: str) -> str | None:
     """What a single character becomes before NFC, or None if it stays."""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    kind = ud.category(c)
-    if kind == "Zs" or c == "\t":
+    if c in _LINE_END:
+        return "\n"
+    if ud.category(c) == "Zs" or c == "\t" or c in _BLANK:
         return " " if c != " " else None
     d = ud.decomposition(c)
     tag = d.split(" ", 1)[0]
@@ -85,6 +88,7 @@ def _tables() -> tuple[dict[int, str], frozenset[str]]:
 
 
 _SEEN: dict[str, str] = {}
+_PLAIN = frozenset("\t\r\x0b\x0c")
 
 
 def _segment(s: str) -> str:
@@ -97,7 +101,9 @@ def _segment(s: str) -> str:
 
 def canonical(text: str) -> str:
     """The one form of all texts that look like this one."""
-    if text.isascii() and "\t" not in text:
+    if "\r\n" in text:
+        text = text.replace("\r\n", "\n")
+    if text.isascii() and _PLAIN.isdisjoint(text):
         return text
     unstable = _tables()[1]
     if unstable.isdisjoint(text):

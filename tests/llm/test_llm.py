@@ -441,3 +441,9 @@ def test_p5_blocks_and_long_lines(spark):
     got = [{(r.chunk_id, r.line_no) for r in p5.page_lines(df, block=b).where("furniture").collect()} for b in (2000, 80, 40)]
     assert got[0] == got[1] == got[2]
     assert {(f"h{i:03d}", 0) for i in range(240)} <= got[0] and not any(n in (1, 3) for _, n in got[0])
+
+
+def test_p1_line_ends_and_rare_blanks():
+    for odd in ("a\r\nb", "a\rb", "a\x0cb", "a\u2028b", "a\x85b"):
+        assert p1.canonical(odd) == "a\nb"
+    assert p1.canonical("葛\U000e0100城") == "葛城" and p1.canonical("a\u3164b\u2800c") == "a b c" and p1.canonical("a b") != p1.canonical("a\nb")
