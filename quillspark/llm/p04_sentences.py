@@ -9,7 +9,7 @@ Script rules: 。！？ end without a blank, the danda ends Devanagari sentences
 quotations, dash-led speech and brackets hold their marks, an ellipsis ends nothing, a line break always ends a unit.
 
 Order of evidence: unambiguous occurrences in the document, then those in the corpus, then the short lists below, which act only where both are silent.
-The corpus evidence covers every token, however rare; what is handed to all tasks leaves out the tokens that decide as an unknown one would, and holds at most
+The corpus evidence counts every token; shares of it count from SOME occurrences on, repeated small letters after a stop before. What is handed to all tasks leaves out the tokens that decide as an unknown one would, and holds at most
 the MAX_EVIDENCE rows with the most occurrences; where there are more, the others are joined to the texts that ask for them.
 
 Defined results: null and blank texts have no unit; repeated rows of a chunk id give their units once (found) or with
@@ -303,7 +303,7 @@ def corpus_evidence(chunks: DataFrame) -> tuple[Evidence, DataFrame | None]:
     listed = F.col("token").isin(*sorted(NEVER | MIXED))
     few = (F.col("n") < SOME) & (F.col("x") >= 2) & (F.col("y") == 0)
     kept = (F.col("what") == 0) & (listed | few | (F.col("n") >= SOME) & ((F.col("y") * 200 < F.col("n")) | (F.col("x") * 20 > F.col("n"))))
-    total = staged(total.where(kept | (F.col("what") == 1) & (F.col("y") > 3 * F.col("x"))), "p4-evidence")
+    total = staged(total.where(kept | (F.col("what") == 1) & (F.col("n") >= SOME) & (F.col("y") > 3 * F.col("x"))), "p4-evidence")
     got = total.orderBy(F.desc("n"), "what", "token").limit(MAX_EVIDENCE).collect()
     return Evidence.of(got), total if total.count() > MAX_EVIDENCE else None
 
