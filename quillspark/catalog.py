@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import answers, corpus, inout, log, retrieval
+from quillspark.plans import answers, cleaning, corpus, inout, log, pipeline, retrieval
 
-MODULES = [retrieval.R, corpus.R, log.R, inout.R, answers.R]
+MODULES = [retrieval.R, pipeline.R, corpus.R, cleaning.R, log.R, inout.R, answers.R]
 
 
 def queries():

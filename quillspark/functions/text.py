@@ -14,6 +14,11 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+def strip(c: Column) -> Column:
+    """White space cut at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(c: Column) -> Column:
     """Full-width letters, digits and blanks to half width; one kind of line end; runs of blanks to one; trimmed. Full-width punctuation stays."""
     c = F.regexp_replace(F.translate(c, WIDE, PLAIN), "\r\n|\r", "\n")
@@ -74,25 +79,52 @@ def ascii_ratio(c: Column) -> Column:
     return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(s, r"[^\x00-\x7F]", "")) / F.length(s))
 
 
-def heading_level(line: Column) -> Column:
-    """0 for body lines, else the level that the numbering of the line gives."""
+# Numbering patterns of headings and their levels, the first that fits wins.
+HEADINGS = (
+    (r"^第[一二三四五六七八九十百\d]+[章节篇部分]", 1), (r"^[一二三四五六七八九十]+、\S", 1), (r"^（[一二三四五六七八九十]+）\s*\S", 2), (r"^\([一二三四五六七八九十]+\)\s*\S", 2),
+    (r"^\d{1,2}\.\d+(\.\d+)*[、\s]+[^\d\s]", 3), (r"^\d{1,2}[、.．]\s*[^\d.．\s]", 3), (r"^（\d{1,2}）\S", 4), (r"^\(\d{1,2}\)\S", 4),
+)
+# Fixed value: a contents line ends with a blank and a page number.
+CONTENTS = r"\s\d{1,4}$"
+HEADING_MAX = 60
+
+
+def contents_line(line: Column) -> Column:
+    return (F.length(line) <= HEADING_MAX) & line.rlike(CONTENTS)
+
+
+def heading_level(line: Column, size: Column | None = None, body_size: Column | None = None) -> Column:
+    """0 for body and contents lines, else the level that the numbering of the line gives, or 2 for a short line in larger type than the body."""
     rest = F.length(F.regexp_replace(line, r"^[0-9.．、（）()\s]+", ""))
     body = (rest > 25) | line.rlike("[。；;]$")
-    level = (
-        F.when(line.rlike("^第[一二三四五六七八九十百0-9]+[章节篇部分]"), 1).when(line.rlike(r"^[一二三四五六七八九十]+、\S"), 1)
-        .when(line.rlike(r"^（[一二三四五六七八九十]+）\s*\S"), 2).when(line.rlike(r"^\([一二三四五六七八九十]+\)\s*\S"), 2)
-        .when(line.rlike(r"^[0-9]{1,2}\.[0-9]+(\.[0-9]+)*[、\s]+[^0-9\s]"), 3).when(line.rlike(r"^[0-9]{1,2}[、.．]\s*[^0-9.．\s]"), 3)
-        .when(line.rlike(r"^（[0-9]{1,2}）\S"), 4).when(line.rlike(r"^\([0-9]{1,2}\)\S"), 4).otherwise(0)
-    )
-    return F.when((line == "") | (F.length(line) > 40), 0).when((level >= 3) & body, 0).otherwise(level)
+    level = F.lit(0)
+    if size is not None:
+        level = F.when((size > 0) & (body_size > 0) & (size >= body_size * 1.15) & (F.length(line) <= 30), 2).otherwise(level)
+    for pattern, n in reversed(HEADINGS):
+        hit = F.when(body, 0).otherwise(n) if n >= 3 else F.lit(n)
+        level = F.when(line.rlike(pattern), hit).otherwise(level)
+    return F.when((line == "") | (F.length(line) > HEADING_MAX) | line.rlike(CONTENTS), 0).otherwise(level)
+
+
+# What is masked, in this order.
+REDACTIONS = (
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED]"),
+    (r"(?<!\d)(?:\+?86[- ]?)?1[3-9]\d{9}(?!\d)", "[REDACTED]"), (r"(?<!\d)\d{17}[\dXx](?!\d)", "[REDACTED]"),
+)
+# Parts of names whose values are masked whole.
+SENSITIVE = "authorization|api_?key|token|secret|password|cookie|phone|id_?card|email"
 
 
 def redact(c: Column) -> Column:
     """Bearer tokens, e-mail addresses, mainland phone and identity numbers masked, in this order."""
-    c = F.regexp_replace(c, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    c = F.regexp_replace(c, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED]")
-    c = F.regexp_replace(c, r"(?<![0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}(?![0-9])", "[REDACTED]")
-    return F.regexp_replace(c, r"(?<![0-9])[0-9]{17}[0-9Xx](?![0-9])", "[REDACTED]")
+    for pattern, mask in REDACTIONS:
+        c = F.regexp_replace(c, pattern, mask)
+    return c
+
+
+def redact_map(c: Column) -> Column:
+    """Values of a map masked: whole under a sensitive key, else as texts."""
+    return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike(SENSITIVE), F.lit("[REDACTED]")).otherwise(redact(v)))
 
 
 # Section types by keyword, the first that fits wins.
@@ -103,13 +135,24 @@ SECTION_RULES = (
 
 
 def section_type(c: Column) -> Column:
+    c = F.trim(c)
     out = F.lit(None).cast("string")
     for name, rule in reversed(SECTION_RULES):
         out = F.when(c.rlike(rule), name).otherwise(out)
     return out
 
 
+def section_type_of_path(path: Column) -> Column:
+    """The section type of the deepest heading of a path (array from the top) that has one."""
+    return F.try_element_at(F.filter(F.transform(F.reverse(path), section_type), lambda x: x.isNotNull()), F.lit(1))
+
+
 def overlap(question: Column, text: Column) -> Column:
     """Share of the question's distinct tokens that the text has."""
     q = F.array_distinct(question)
     return F.size(F.array_intersect(q, text)) / F.greatest(F.size(q), F.lit(1))
+
+
+def query_form(c: Column, labels: list[str], placeholder: str) -> Column:
+    """A question on one line: labels with their colon and the placeholder for missing values become blanks, runs of white space one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "(?:" + "|".join(labels) + r")\s*[:：]|" + placeholder, " "), r"\s+", " "))

@@ -43,10 +43,22 @@ def attempts(events: DataFrame) -> DataFrame:
     return events.select("id", "case_id", "event_type", "to_status", d["attempt"].alias("attempt"), d["latency_ms"].alias("latency_ms"))
 
 
-def admitted(log: DataFrame, by: str, order: str, cost: str, budget: float, calls: int) -> DataFrame:
-    """Calls with whether running count and cost still fit the budgets."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("n", F.count("*").over(w)).withColumn("spent", F.sum(cost).over(w)).withColumn("admitted", (F.col("n") <= calls) & (F.col("spent") <= budget))
+def admitted(log: DataFrame, by: str, order: str, name: str, cost: str, budget: float, calls: int) -> DataFrame:
+    """(by, order, reason) of calls in order: duplicate for a name admitted before, tool_limit once `calls` are admitted, cost_limit once the admitted ones have spent `budget`, null where admitted.
+
+    A rejected call uses nothing up. A fold over the calls of one run, which the limits keep short."""
+    state = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0.0).alias("spent"), F.array().cast(f"array<struct<o:{dict(log.dtypes)[order]},reason:string>>").alias("out"))
+
+    def step(s, x):
+        reason = F.when(F.array_contains(s["seen"], x["name"]), "duplicate").when(s["n"] >= calls, "tool_limit").when(s["spent"] >= budget, "cost_limit")
+        ok = reason.isNull()
+        seen = F.when(ok, F.array_append(s["seen"], x["name"])).otherwise(s["seen"])
+        out = F.array_append(s["out"], F.struct(x["o"].alias("o"), reason.alias("reason")))
+        return F.struct(seen.alias("seen"), (s["n"] + ok.cast("int")).alias("n"), (s["spent"] + F.when(ok, x["cost"]).otherwise(0.0)).alias("spent"), out.alias("out"))
+
+    calls_of = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("cost"))))
+    run = log.groupBy(by).agg(calls_of.alias("x")).select(by, F.explode(F.aggregate("x", state, step, lambda s: s["out"])).alias("r"))
+    return run.select(by, F.col("r.o").alias(order), F.col("r.reason").alias("reason"))
 
 
 def ancestors(cases: DataFrame, depth: int = 3) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,11 +61,30 @@ def sign_test(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
 
 
+def running(df: DataFrame, order: str, values: list[str], parts: int = 64) -> DataFrame:
+    """df (one row an order value) with for each value the sum over all rows up to its own as <value>_to and of all rows as <value>_all, without one task for all rows.
+
+    Rows are dealt into ranges by approximate quantiles; sums run inside a range, and the few sums of the ranges before are added."""
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []
+    cuts = sorted(set(cuts))
+    part = F.lit(0)
+    for i, c in enumerate(cuts):
+        part = F.when(F.col(order) > c, i + 1).otherwise(part)
+    dealt = df.withColumn("_part", part)
+    w = Window.partitionBy("_part").orderBy(order)
+    sums = dealt.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    few = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    before = sums.select("_part", *[F.coalesce(F.sum(v).over(few), F.lit(0)).alias(f"_{v}") for v in values], *[F.sum(v).over(every).alias(f"{v}_all") for v in values])
+    out = dealt.join(F.broadcast(before), "_part")
+    return out.select(*df.columns, *[(F.sum(v).over(w) + F.col(f"_{v}")).alias(f"{v}_to") for v in values], *[f"{v}_all" for v in values])
+
+
 def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(auroc): Mann-Whitney by rank sums, ties one half; scores are aggregated before they are ranked, so one sort of distinct scores is all."""
+    """(auroc): Mann-Whitney by rank sums, ties one half; scores are aggregated before they are ranked."""
     g = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("below", below).agg(ratio(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
+    g = running(g, "s", ["n"])
+    return g.agg(ratio(F.sum(F.col("p") * (F.col("n_to") - F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,14 +94,20 @@ def paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.select("n", "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("diff"), "wins", "losses", (F.col("n") - F.col("wins") - F.col("losses")).alias("ties"), sign_test(F.col("wins"), F.col("losses")).alias("p_value"))
 
 
-def risk_coverage(df: DataFrame, score: str, correct: str, key: str) -> DataFrame:
-    """(n, coverage, risk, threshold) as rows are answered from the best score down, one row a distinct score.
-
-    Counts are gathered a score first, so only distinct scores pass the one ordered window."""
+def risk_coverage(df: DataFrame, score: str, correct: str) -> DataFrame:
+    """(n, coverage, risk, threshold) as rows are answered from the best score down, one row a distinct score."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("c"), F.count_if(~F.col(correct)).alias("w"))
-    w = Window.orderBy(F.desc("threshold"))
-    run = g.select("threshold", F.sum("c").over(w).alias("n"), F.sum("w").over(w).alias("wrong"), F.sum("c").over(Window.partitionBy()).alias("all"))
-    return run.select("threshold", "n", (F.col("n") / F.col("all")).alias("coverage"), (F.col("wrong") / F.col("n")).alias("risk"))
+    g = running(g, "threshold", ["c", "w"])
+    n, wrong = F.col("c_all") - F.col("c_to") + F.col("c"), F.col("w_all") - F.col("w_to") + F.col("w")
+    return g.select("threshold", n.alias("n"), (n / F.col("c_all")).alias("coverage"), (wrong / n).alias("risk"))
+
+
+def curve_picks(curve: DataFrame, order: str, picks: int = 12) -> DataFrame:
+    """Rows of a curve at `picks` evenly spaced indices from its first to its last row by `order`, best first."""
+    ranked = running(curve.withColumn("_one", F.lit(1)), order, ["_one"])
+    at = F.col("_one_all") - F.col("_one_to")
+    wanted = F.array(*[F.floor(F.lit(i) * (F.col("_one_all") - 1) / (picks - 1)) for i in range(picks)])
+    return ranked.where(F.array_contains(wanted, at)).select(*curve.columns)
 
 
 def select_threshold(df: DataFrame, score: str, correct: str) -> DataFrame:
@@ -88,9 +115,9 @@ def select_threshold(df: DataFrame, score: str, correct: str) -> DataFrame:
     d = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(correct)).alias("u"), F.count_if(~F.col(correct)).alias("f"))
     zero = d.sparkSession.range(1).select(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("f"))
     d = d.unionByName(zero).groupBy("s").agg(F.sum("u").alias("u"), F.sum("f").alias("f"))
-    up = Window.orderBy("s")
-    above = Window.orderBy("s").rowsBetween(1, Window.unboundedFollowing)
-    cut = d.select(((F.col("s") + F.lead("s").over(up)) / 2).alias("threshold"), F.coalesce(F.sum("u").over(above), F.lit(0)).alias("useful"), F.coalesce(F.sum("f").over(above), F.lit(0)).alias("false_answers")).where("threshold is not null")
+    r = running(d.withColumn("i", F.lit(1)), "s", ["u", "f", "i"])
+    after = r.select((F.col("i_to") - 1).alias("i_to"), F.col("s").alias("next"))
+    cut = r.join(after, "i_to").select(((F.col("s") + F.col("next")) / 2).alias("threshold"), (F.col("u_all") - F.col("u_to")).alias("useful"), (F.col("f_all") - F.col("f_to")).alias("false_answers"))
     at0 = df.agg(F.lit(0.0).alias("threshold"), F.count_if((F.col(score) > 0) & F.col(correct)).alias("useful"), F.count_if((F.col(score) > 0) & ~F.col(correct)).alias("false_answers"))
     return cut.unionByName(at0).orderBy((F.col("useful") - F.col("false_answers")).desc(), "threshold").limit(1)
 
@@ -104,17 +131,37 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return o.crossJoin(e).select("n", "observed", "expected", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
-def bootstrap_mean(df: DataFrame, by: str, value: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """(by, mean, low, high): percentile interval of resampled means with Python's generator, one group a task; a group is the metric values of one system."""
+def bootstrap_mean(df: DataFrame, by: str, value: str, order: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, mean, low, high): percentile interval of resampled means with Python's generator (one randrange a draw), values in the order of `order`; one group a task, for the few hundred values of a test set."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[value].tolist()
-        r = random.Random(seed)
-        means = sorted(sum(r.choices(v, k=len(v))) / len(v) for _ in range(resamples))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [sum(v) / len(v)], "low": [means[int(0.025 * resamples)]], "high": [means[int(0.975 * resamples) - 1]]})
+        v = pdf.sort_values(order, kind="stable")[value].tolist()
+        n, r = len(v), random.Random(seed)
+        means = sorted(sum(v[r.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [sum(v) / n], "low": [means[int(0.025 * resamples)]], "high": [means[int(0.975 * resamples) - 1]]})
+
+    kind = dict(df.dtypes)[by]
+    return df.select(by, value, order).where(F.col(value).isNotNull()).groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
+
 
+def bootstrap_poisson(df: DataFrame, by: str, value: str, key: str, resamples: int = 500) -> DataFrame:
+    """(by, mean, low, high) for groups of any size: each row has a Poisson(1) weight in every resample, from a hash of its key; tasks add up weighted sums, so a shuffle carries `resamples` rows a group and task."""
     kind = dict(df.dtypes)[by]
-    return df.select(by, value).where(F.col(value).isNotNull()).sort(value).groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def add(batches):
+        for b in batches:
+            h = b["h"].to_numpy().astype(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            w = np.searchsorted(steps, (h >> np.uint64(11)) / float(1 << 53)).astype(float)
+            for g, at in b.groupby(by, dropna=False).indices.items():
+                v = b[value].to_numpy()[at]
+                yield pd.DataFrame({by: g, "r": np.arange(resamples), "w": w[at].sum(axis=0), "s": v @ w[at]})
+
+    sums = df.where(F.col(value).isNotNull()).select(by, value, F.xxhash64(key).alias("h")).mapInPandas(add, f"{by} {kind}, r int, w double, s double").groupBy(by, "r").agg((F.sum("s") / F.sum("w")).alias("m"))
+    bounds = sums.groupBy(by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    return df.groupBy(by).agg(F.avg(value).alias("mean")).join(bounds, by).select(by, "mean", "low", "high")
 
 
 def latency(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -70,7 +70,15 @@ def section_types(spark, d):
     return table(spark, d, "chunks").select(F.coalesce(T.section_type(F.col("metadata.section")), F.lit("none")).alias("section_type")).groupBy("section_type").agg(F.count("*").alias("n"))
 
 
-@R.add("heading_levels")
+LEVEL = """case when line = '' or length(line) > 60 or regexp_matches(line, '\\s\\d{1,4}$') then 0
+when regexp_matches(line, '^第[一二三四五六七八九十百\\d]+[章节篇部分]') then 1 when regexp_matches(line, '^[一二三四五六七八九十]+、\\S') then 1
+when regexp_matches(line, '^（[一二三四五六七八九十]+）\\s*\\S') then 2 when regexp_matches(line, '^\\([一二三四五六七八九十]+\\)\\s*\\S') then 2
+when regexp_matches(line, '^\\d{1,2}\\.\\d+(\\.\\d+)*[、\\s]+[^\\d\\s]') then case when body then 0 else 3 end when regexp_matches(line, '^\\d{1,2}[、.．]\\s*[^\\d.．\\s]') then case when body then 0 else 3 end
+when regexp_matches(line, '^（\\d{1,2}）\\S') or regexp_matches(line, '^\\(\\d{1,2}\\)\\S') then case when body then 0 else 4 end else 0 end"""
+HEADED = f"h as (select key, line_no, line, {LEVEL} as lvl from (select *, length(regexp_replace(line, '^[0-9.．、（）()\\s]+', '')) > 25 or regexp_matches(line, '[。；;]$') body from ln))"
+
+
+@R.add("heading_levels", f"with ln as (select chunk_id as key, unnest(string_split(text, chr(10))) line, 0 line_no from chunks where text is not null), {HEADED} select lvl as level, count(*) n from h group by 1")
 def heading_levels(spark, d):
     return X.lines(table(spark, d, "chunks"), "chunk_id").withColumn("level", T.heading_level(F.col("line"))).groupBy("level").agg(F.count("*").alias("n"))
 
@@ -113,9 +121,9 @@ def shingles(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(T.shingles(F.col("text"))).cast("bigint").alias("n"))
 
 
-@R.add("jaccard_pairs")
+@R.add("jaccard_pairs", f"with r as (select min(chunk_id) id, {squash_sql('text')} s from chunks where text is not null and {squash_sql('text')} <> '' group by 2), g as (select id, unnest(case when length(s) <= 5 then [s] else list_distinct(list_transform(range(1, length(s) - 3), lambda i: substring(s, i, 5))) end) g from r), n as (select id, count(*) n from g group by 1), c as (select a.id a, b.id b, count(*) c from g a join g b on a.g = b.g and a.id < b.id group by 1, 2) select a, b, round(c / (x.n + y.n - c), 6) similarity from c join n x on a = x.id join n y on b = y.id where c / (x.n + y.n - c) >= 0.85")
 def jaccard_pairs(spark, d):
-    return D.similar_pairs(table(spark, d, "documents"), "doc_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return D.similar_pairs(table(spark, d, "chunks"), "chunk_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @R.add("document_dedup")
@@ -132,24 +140,122 @@ def overlap_chunks(spark, d):
     return C.with_overlap(table(spark, d, "chunks").where("text is not null").select("chunk_id", "source_id", "text"), "source_id", "chunk_id", "text").select("chunk_id", "source_id", "chunk")
 
 
-@R.add("chunk_stats", "select metadata.content_kind kind, count(*) n, sum(length(text))::bigint chars, min(length(text)) shortest, max(length(text)) longest from chunks group by 1")
+@R.add("chunk_stats", "select metadata.content_kind kind, count(*) n, sum(length(text))::bigint chars, min(length(text)) shortest, max(length(text)) longest, round(avg(length(text)), 1) mean from chunks group by 1")
 def chunk_stats(spark, d):
     return C.stats(table(spark, d, "chunks").select(F.col("metadata.content_kind").alias("kind"), "text"), "kind", "text")
 
 
-@R.add("recursive_chunks")
-def recursive_chunks(spark, d):
-    return C.recursive_chunks(table(spark, d, "documents"), "doc_id", ends="。！？；.!?")
+def sents_sql(t: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({t}, '[^。！？；]*[。！？；][”’」』）)]*|[^。！？；]+'), lambda x: {trim_sql('x')}), lambda x: x <> '')"
+
+
+# greedy groups within a limit, as a fold: groups closed so far, the open one
+FILL = "list_reduce({p}, lambda a, x: case when a.held <> '' and length(a.held) + length(x) > {n} then {{'done': list_append(a.done, a.held), 'held': x}} else {{'done': a.done, 'held': a.held || x}} end, {{'done': []::varchar[], 'held': ''}})"
+
+
+def filled_sql(parts: str, limit: int) -> str:
+    return f"list_filter(list_append(({FILL.format(p=parts, n=limit)}).done, ({FILL.format(p=parts, n=limit)}).held), lambda x: x <> '')"
 
 
-@R.add("child_chunks")
+SLICED = "list_transform(range(0, (length({t}) + 511) // 512), lambda i: substring({t}, i * 512 + 1, 512))"
+SPLIT_SQL = f"""
+with s as (select doc_id, unnest(ss) sent, generate_subscripts(ss, 1) i, len(ss) n, text from (select doc_id, text, case when length(text) <= 512 then [text] else {sents_sql('text')} end ss from documents where text <> '')),
+lone as (select doc_id, case when n = 1 then text else sent end sent, i from s),
+parts as (select doc_id, i, 0 j, sent part, length(sent) <= 512 fits from lone where length(sent) <= 512 union all
+  select doc_id, i, generate_subscripts(c, 1) j, unnest(c) part, false from (select doc_id, i, case when len(p) < 2 then {SLICED.format(t='sent')} else flatten(list_transform({filled_sql('p', 512)}, lambda x: {SLICED.format(t='x')})) end c from (select doc_id, i, sent, regexp_extract_all(sent, '[^，、：]*[，、：][”’」』）)]*|[^，、：]+') p from lone where length(sent) > 512))),
+runs as (select *, i - sum(fits::int) over (partition by doc_id order by i, j) isle from parts),
+packed as (select doc_id, min(i) i, 0 j, unnest({filled_sql('list(part order by i)', 512)}) part from runs where fits group by doc_id, isle)
+select doc_id, count(*) n, sum(length(part))::bigint chars, max(length(part)) longest, min(length(part)) shortest from (select doc_id, part from packed union all select doc_id, part from parts where not fits) group by 1
+"""
+
+
+@R.add("recursive_chunks", SPLIT_SQL)
+def recursive_chunks(spark, d):
+    c = C.recursive_chunks(table(spark, d, "documents"), "doc_id")
+    size = F.length("chunk")
+    return c.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(size).alias("chars"), F.max(size).alias("longest"), F.min(size).alias("shortest"))
+
+
+CONTROL_SQL = "(?i)^(?:Skip to main content|阅读时间|打印|分享|分享本页|实况报道|\\d{4}年\\d{1,2}月\\d{1,2}日|\\d{4}年\\d{1,2}月|[ivxlcdm]{1,8}|\\d{1,4})$|^世卫组织\\s*/\\s*媒体中心|^媒体中心\\s*/"
+LAST = "length(regexp_extract(substring(a.rest, 1, 110), '(?s)^.*[，、：,；;]'))"
+CUT = f"case when {LAST} > 36 then {LAST} else 110 end"
+LONG = f"list_reduce(range(0, length(sent) // 37 + 1), lambda a, i: case when length(a.rest) <= 110 then a else {{{{'done': list_append(a.done, substring(a.rest, 1, {CUT})), 'rest': substring(a.rest, {CUT} + 1)}}}} end, {{{{'done': []::varchar[], 'rest': sent}}}})".replace("{{", "{").replace("}}", "}")
+PAIRS = "list_reduce(x, lambda a, p: case when length(p) <= a.room then {'done': list_append(a.done[:-2], a.done[-1] || p), 'room': -1} else {'done': list_append(a.done, p), 'room': 110 - length(p)} end, {'done': []::varchar[], 'room': -1})"
+MERGED = "list_reduce(x, lambda a, p: case when len(a) > 0 and length(p) < 15 and length(a[-1]) < 110 and length(a[-1]) + length(p) <= 130 then list_append(a[:-2], a[-1] || p) else list_append(a, p) end, []::varchar[])"
+CHILD_SQL = f"""
+with s as (select doc_id, unnest(ss) sent, generate_subscripts(ss, 1) i from (select doc_id, {sents_sql('text')} ss from documents where text is not null)),
+u as (select doc_id, i, sent, length(sent) <= 110 fits from s), runs as (select *, i - sum(fits::int) over (partition by doc_id order by i) isle from u),
+g as (select doc_id, i, ({PAIRS}).done d from (select doc_id, min(i) i, list(sent order by i) x from runs where fits group by doc_id, isle) union all
+  select doc_id, i, list_append(l.done, l.rest) from (select doc_id, i, {LONG} l from runs where not fits)),
+m as (select doc_id, {MERGED} c from (select doc_id, flatten(list(list_filter(d, lambda y: y <> '') order by i)) x from g group by doc_id))
+select doc_id, i - 1 seq, chunk from (select doc_id, unnest(c) chunk, generate_subscripts(c, 1) i from (select doc_id, list_filter(c, lambda y: not regexp_matches(trim(y), '{CONTROL_SQL}')) c from m))
+"""
+
+
+@R.add("child_chunks", CHILD_SQL)
 def child_chunks(spark, d):
-    return C.child_chunks(table(spark, d, "documents"), "doc_id", ends="。！？；.!?")
+    return C.child_chunks(table(spark, d, "documents"), "doc_id")
+
+
+PARAS = f"p as (select doc_id, i, {trim_sql('t')} t from (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null))"
+
+
+@R.add("parent_chunks", f"with {PARAS} select doc_id, t chunk, count(*) n from p where t <> '' and length(t) <= 600 and not regexp_matches(t, '{CONTROL_SQL}') group by 1, 2")
+def parent_chunks(spark, d):
+    """Parents that are whole paragraphs; those cut from longer ones are checked by brute force in the tests."""
+    lines = X.lines(table(spark, d, "documents"), "doc_id").select("doc_id", T.strip(F.col("line")).alias("chunk")).where("length(chunk) <= 600").distinct()
+    p = C.parent_child(table(spark, d, "documents"), "doc_id").where("role = 'parent'").groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+    return p.join(lines, ["doc_id", "chunk"], "left_semi")
 
 
 @R.add("parent_child_chunks")
 def parent_child_chunks(spark, d):
-    return C.parent_child(table(spark, d, "documents"), "doc_id", ends="。！？；.!?")
+    return C.parent_child(table(spark, d, "documents"), "doc_id")
+
+
+def line_elements(spark, d):
+    """Documents with their lines as elements: numbered headings open sections, lines with an item mark are lists, the rest are paragraphs."""
+    ln = X.lines(table(spark, d, "documents"), "doc_id").withColumn("level", T.heading_level(F.col("line")))
+    w = X.Window.partitionBy("doc_id").orderBy("line_no")
+    ln = ln.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w).cast("int"))
+    none = F.array().cast("array<string>")
+    item = F.col("line").rlike(r"^(?:[-•·] |\d{1,2}\. )")
+    e = F.struct("line_no", "section", F.when(F.col("level") > 0, "heading").when(item, "list").otherwise("paragraph").alias("kind"), F.col("line").alias("text"), F.when(item, F.array("line")).otherwise(none).alias("items"), none.alias("header"), F.array().cast("array<array<string>>").alias("rows"))
+    return ln.groupBy("doc_id").agg(F.array_sort(F.collect_list(e)).alias("elements"))
+
+
+UNITS = f"with ln as (select doc_id as key, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents where text is not null), {HEADED}"
+
+
+@R.add("element_units", UNITS + f" select key doc_id, kind, count(*) n, sum(length(t))::bigint chars from (select key, {trim_sql('line')} t, case when regexp_matches(line, '^(?:[-•·] |\\d{{1,2}}\\. )') then 'list' else 'paragraph' end kind from h where lvl = 0) where t <> '' and not regexp_matches(t, '{CONTROL_SQL}') group by 1, 2")
+def element_units(spark, d):
+    u = C.element_units(line_elements(spark, d), "doc_id")
+    return u.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@R.add("element_chunks", UNITS + f", t as (select key, sum((lvl > 0)::int) over (partition by key order by line_no) section, lvl, {trim_sql('line')} t from h) select key doc_id, section::int section, {squash_sql(chr(34) + 'joined' + chr(34))} squashed from (select key, section, string_agg(t, '' order by line_no) joined from (select *, row_number() over () line_no from t) where lvl = 0 and t <> '' and not regexp_matches(t, '{CONTROL_SQL}') group by 1, 2)")
+def element_chunks(spark, d):
+    """Chunks of documents put together again, overlaps cut: nothing of a section is lost or doubled."""
+    c = C.element_chunks(line_elements(spark, d), "doc_id")
+    w = X.Window.partitionBy("doc_id", "section").orderBy("seq")
+    before, text = F.lag("chunk").over(w), F.col("chunk")
+    lap = F.when(F.col("seq") > 0, F.right(before, F.lit(C.OVERLAP)))
+    own = c.withColumn("lap", lap).withColumn("own", F.when(F.col("lap").isNotNull() & (F.length("lap") > 0) & F.startswith(text, F.col("lap")) & (F.length("lap") >= C.OVERLAP), F.substr(text, F.length("lap") + 1)).otherwise(text))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "own"))), lambda x: x["own"])
+    return own.groupBy("doc_id", "section").agg(T.squash(F.array_join(parts, "")).alias("squashed"))
+
+
+@R.add("element_families")
+def element_families(spark, d):
+    return C.element_families(line_elements(spark, d), "doc_id")
+
+
+@R.add("section_type_paths", "select chunk_id, metadata.section s, case when metadata.section similar to '.*(传播|感染途径|传染途径).*' then 'transmission' when metadata.section similar to '.*(症状|临床表现|体征).*' then 'symptoms' else 'other' end deepest from chunks")
+def section_type_paths(spark, d):
+    """The section type by path, deepest heading first: a path of a fixed title and the section."""
+    path = F.array(F.lit("预防"), F.coalesce("metadata.section", F.lit("-")))
+    got = T.section_type_of_path(path)
+    return table(spark, d, "chunks").select("chunk_id", F.col("metadata.section").alias("s"), F.when(got.isin("transmission", "symptoms"), got).otherwise("other").alias("deepest"))
 
 
 HASHES = "select source_id doc, count(*) chunks, sha256(string_agg(h, '' order by chunk_id)) content_hash from (select source_id, chunk_id, sha256(coalesce(text, '')) h from chunks) group by source_id"

@@ -40,10 +40,20 @@ def manifest_scan(spark, d):
     return I.manifest(rows, s).select("doc_id", "accessed_at")
 
 
-@R.add("decode_bytes", "select chunk_id path, text from chunks where text is not null")
+@R.add("decode_bytes", "select chunk_id path, text, case k when 1 then 'gb18030' else 'utf-8' end encoding, case k when 0 then 'declared' else 'detected' end source from (select chunk_id, text, case when regexp_matches(text, '[^\\x00-\\x7F]') and instr(text, '�') = 0 then abs(length(text)) % 3 else 2 end k from chunks where text is not null) where k <> 1 or regexp_matches(text, '^[\\x00-\\x7F一-龥、。，！？；：（）“”《》·…—]+$')")
 def decode_bytes(spark, d):
-    raw = table(spark, d, "chunks").where("text is not null").select(F.col("chunk_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return I.decoded(raw).select("path", "text")
+    """Texts written with a declared UTF-8, as GB 18030 (those it can tell by its frequent rows) and as plain UTF-8, decoded again."""
+    t = table(spark, d, "chunks").where("text is not null").select(F.col("chunk_id").alias("path"), "text")
+    odd = F.col("text").rlike(r"[^\x00-\x7F]") & ~F.contains("text", F.lit("\ufffd"))
+    t = t.withColumn("k", F.when(odd, F.length("text") % 3).otherwise(2)).where((F.col("k") != 1) | F.col("text").rlike(r"\A[\x00-\x7F一-龥、。，！？；：（）“”《》·…—]+\z"))
+
+    def write(batches):
+        for b in batches:
+            b["content"] = [x.encode("gb18030" if k == 1 else "utf-8") for x, k in zip(b["text"], b["k"], strict=True)]
+            yield b[["path", "content", "declared"]]
+
+    raw = t.withColumn("declared", F.when(F.col("k") == 0, "utf8")).mapInPandas(write, "path string, content binary, declared string")
+    return I.decoded(raw, declared="declared")
 
 
 @R.add("html_text")

@@ -55,10 +55,14 @@ def stage_percentiles(spark, d):
     return M.latency(a, "to_status", "latency_ms").select("to_status", "n", F.col("p50").cast("bigint").alias("p50"), F.col("p90").cast("bigint").alias("p90"), "most")
 
 
-@R.add("budget_admission", "with t as (select id, case_id, count(*) over w n, sum(coalesce(cast(detail->>'latency_ms' as bigint), 0)) over w spent from case_event_log window w as (partition by case_id order by id rows unbounded preceding)) select id, n <= 6 and spent <= 3000 admitted from t")
+ADMIT = "list_reduce(x, lambda a, c: case when list_contains(a.seen, c.name) then {'seen': a.seen, 'spent': a.spent, 'out': list_append(a.out, {'o': c.o, 'r': 'duplicate'})} when len(a.seen) >= 4 then {'seen': a.seen, 'spent': a.spent, 'out': list_append(a.out, {'o': c.o, 'r': 'tool_limit'})} when a.spent >= 3000 then {'seen': a.seen, 'spent': a.spent, 'out': list_append(a.out, {'o': c.o, 'r': 'cost_limit'})} else {'seen': list_append(a.seen, c.name), 'spent': a.spent + c.cost, 'out': list_append(a.out, {'o': c.o, 'r': null::varchar})} end, {'seen': []::varchar[], 'spent': 0::double, 'out': []::struct(o bigint, r varchar)[]})"
+
+
+@R.add("budget_admission", f"with g as (select case_id, list({{'o': id, 'name': event_type || coalesce(to_status, ''), 'cost': coalesce(cast(detail->>'latency_ms' as double), 0)}} order by id) x from case_event_log group by 1) select case_id, r.o id, r.r reason from (select case_id, unnest(({ADMIT}).out) r from g)")
 def budget_admission(spark, d):
-    log = E.attempts(_log(spark, d)).withColumn("cost", F.coalesce("latency_ms", F.lit(0)))
-    return E.admitted(log, "case_id", "id", "cost", 3000, 6).select("id", "admitted")
+    """Calls of a case in order, repeats of a step first: four calls and 3,000 milliseconds."""
+    log = _log(spark, d).withColumn("name", F.concat("event_type", F.coalesce("to_status", F.lit("")))).withColumn("cost", F.coalesce(F.get_json_object("detail", "$.latency_ms").cast("double"), F.lit(0.0)))
+    return E.admitted(log, "case_id", "id", "name", "cost", 3000, 4)
 
 
 @R.add("case_history", "with recursive w(case_id, owner_id, up, step) as (select case_id, owner_id, parent_case_id, 1 from cases where parent_case_id is not null union all select w.case_id, w.owner_id, p.parent_case_id, w.step + 1 from w join cases p on p.case_id = w.up and p.owner_id is not distinct from w.owner_id where w.step < 3 and p.parent_case_id is not null) select w.case_id, w.step, w.up ancestor from w join cases p on p.case_id = w.up and p.owner_id is not distinct from w.owner_id")

@@ -164,7 +164,7 @@ def _nearest(spark, d, k=1):
 @R.add("risk_coverage", LABELLED + ", o as (select round(score, 4) s, label = qlabel ok from t where rank = 1), g as (select s, count(*) c, sum((not ok)::int) w from o group by s) select s threshold, sum(c) over (order by s desc)::bigint n, round(sum(c) over (order by s desc) / sum(c) over (), 6) coverage, round(sum(w) over (order by s desc) / sum(c) over (order by s desc), 6) risk from g")
 def risk_coverage(spark, d):
     o = _nearest(spark, d).select("query_id", F.round("score", 4).alias("s"), (F.col("label") == F.col("qlabel")).alias("ok"))
-    return M.risk_coverage(o, "s", "ok", "query_id").select("threshold", "n", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"))
+    return M.risk_coverage(o, "s", "ok").select("threshold", "n", F.round("coverage", 6).alias("coverage"), F.round("risk", 6).alias("risk"))
 
 
 @R.add("abstention_curve", LABELLED + ", o as (select round(score, 4) s, label = qlabel ok from t where rank = 1) select x threshold, sum((s > x)::int)::bigint answered, sum((s > x and ok)::int)::bigint useful, sum((s > x and not ok)::int)::bigint false_answers from o, (select unnest([0.0::double, 0.1::double, 0.2::double, 0.3::double, 0.4::double, 0.5::double]) x) group by x")
@@ -214,7 +214,7 @@ def random_hit(spark, d):
 @R.add("bootstrap_mean")
 def bootstrap_mean(spark, d):
     q = table(spark, d, "queries").select(F.col("sample_id").alias("query_id"), "split")
-    return M.bootstrap_mean(_per_query(spark, d).join(q, "query_id"), "split", "rr")
+    return M.bootstrap_mean(_per_query(spark, d).join(q, "query_id"), "split", "rr", "query_id")
 
 
 @R.add("overlap_ratio", f"with {ASK}, {DOCS}, p as (select query_id, id, q.tokens qt, d.tokens dt from (select distinct sample_id query_id, unnest(gold_evidence_ids) id from queries) g join (select sample_id query_id, {TOK.format(t='question')} tokens from queries) q using (query_id) join docs d using (id)) select query_id, id, round(len(list_intersect(qt, dt)) / greatest(len(list_distinct(qt)), 1), 9) overlap from p")

@@ -38,27 +38,55 @@ def csv_rows(spark: SparkSession, path: str, cell: int = 500) -> DataFrame:
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
-def decode_bytes(raw: bytes, declared: str | None = None) -> tuple[str, str]:
-    """(text, encoding): the declared character set, else one named in the first 4 KB, else utf-8, else gb18030, else utf-8 with replacement."""
+def _common_share(raw: bytes, low: int, high: int) -> float:
+    """Share of two-byte characters whose lead byte lies in the rows of frequent characters of an encoding."""
+    lead = total = i = 0
+    while i < len(raw):
+        if raw[i] < 0x81:
+            i += 1
+            continue
+        total += 1
+        lead += low <= raw[i] <= high
+        i += 2
+    return lead / total if total else 0.0
+
+
+def detected(raw: bytes) -> list[str]:
+    """utf-8, then gb18030 and big5, the one first in whose frequent rows more characters fall (GB 2312: B0-D7, Big5: A4-C6, with trail bytes below A1 that GB 2312 lacks)."""
+    trail = sum(raw[i] >= 0xA1 and 0x40 <= raw[i + 1] < 0x7F for i in range(len(raw) - 1)) if len(raw) < 1 << 20 else 0
+    chinese = _common_share(raw, 0xA4, 0xC6) if trail else 0.0
+    return ["utf-8", "big5", "gb18030"] if chinese > 0.8 and chinese > _common_share(raw, 0xB0, 0xD7) else ["utf-8", "gb18030", "big5"]
+
+
+def decode_bytes(raw: bytes, declared: str | None = None) -> tuple[str, str, str]:
+    """(text, encoding, source): the declared character set, else one named in the first 4 KB, with replacement (declared); else the first detected one that
+    decodes strictly (detected); else utf-8 with replacement (fallback). An unknown declared name counts as none."""
     named = declared or ((m := _CHARSET.search(raw[:4096])) and m[1].decode("ascii", "ignore")) or None
-    tries = [{"gbk": "gb18030", "gb2312": "gb18030"}.get(named.lower(), named)] if named else []
-    for enc in [*tries, "utf-8", "gb18030"]:
+    if named:
+        enc = named.strip().lower()
+        enc = {"gbk": "gb18030", "gb2312": "gb18030", "utf8": "utf-8"}.get(enc, enc)
+        try:
+            return raw.decode(enc, "replace"), enc, "declared"
+        except LookupError:
+            pass
+    for enc in detected(raw):
         try:
-            return raw.decode(enc), enc
-        except (UnicodeDecodeError, LookupError):
+            return raw.decode(enc), enc, "detected"
+        except UnicodeDecodeError:
             continue
-    return raw.decode("utf-8", "replace"), "utf-8"
+    return raw.decode("utf-8", "replace"), "utf-8", "fallback"
 
 
-def decoded(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds text and encoding to a table of raw bytes (as from the binaryFile source)."""
+def decoded(files: DataFrame, content: str = "content", declared: str | None = None) -> DataFrame:
+    """(path, text, encoding, source) of a table of raw bytes (as from the binaryFile source), with a column of declared character sets if there is one."""
 
     def run(batches):
         for b in batches:
-            got = [(None, None) if x is None else decode_bytes(bytes(x)) for x in b[content]]
-            yield pd.DataFrame({"path": b["path"], "text": [g[0] for g in got], "encoding": [g[1] for g in got]})
+            named = b[declared] if declared else [None] * len(b)
+            got = [(None, None, None) if x is None else decode_bytes(bytes(x), n) for x, n in zip(b[content], named, strict=True)]
+            yield pd.DataFrame({"path": b["path"], "text": [g[0] for g in got], "encoding": [g[1] for g in got], "source": [g[2] for g in got]})
 
-    return files.select("path", content).mapInPandas(run, "path string, text string, encoding string")
+    return files.select("path", content, *([declared] if declared else [])).mapInPandas(run, "path string, text string, encoding string, source string")
 
 
 _SKIP = {"script", "style", "nav", "footer", "noscript", "template"}

@@ -38,7 +38,7 @@ def test_shingles_and_ratio(spark):
     assert one(spark, "", T.ascii_ratio) == 0.0
 
 
-@pytest.mark.parametrize(("line", "level"), [("第一章 总则", 1), ("一、概述", 1), ("（二）症状", 2), ("1.2 范围", 3), ("3、定义", 3), ("75.8号决议", 0), ("（1）发热", 4), ("1. 这一条的文字写得很长很长很长很长很长很长很长很长很长很长", 0), ("正文", 0)])
+@pytest.mark.parametrize(("line", "level"), [("第一章 总则", 1), ("一、概述", 1), ("（二）症状", 2), ("1.2 范围", 3), ("3、定义", 3), ("75.8号决议", 0), ("（1）发热", 4), ("1. 这一条的文字写得很长很长很长很长很长很长很长很长很长很长", 0), ("正文", 0), ("1.2 范围 12", 0), ("第一章 总则 3", 0)])
 def test_headings(spark, line, level):
     assert one(spark, line, T.heading_level) == level
 
@@ -59,15 +59,54 @@ def test_contained_questions(spark):
     assert [(r.text_id, r.question_id) for r in X.contained_questions(texts, qs).collect()] == [(1, 9)]
 
 
-def test_chunking_is_lossless():
+def test_split_keeps_text_limits_and_sentence_edges():
     rng = random.Random(1)
-    for _ in range(200):
-        t = "".join(rng.choice("甲乙丙，、。！x ") for _ in range(rng.randrange(0, 400)))
+    for _ in range(300):
+        t = "".join(rng.choice("甲乙丙，、。！x") for _ in range(rng.randrange(0, 400)))
         parts = C.split(t, 50)
         assert "".join(parts) == t and all(len(p) <= 50 for p in parts)
-    assert C.pack(["aa", "bbb", "cccccc", "d"], 5) == ["aabbb", "cccccc", "d"]
-    assert C.children("甲" * 90 + "。" + "乙" * 5 + "。") == ["甲" * 90 + "。" + "乙" * 5 + "。"]
-    assert all(len(c) <= 130 for c in C.children("字" * 1000))
+        # a sentence that fits is never cut
+        ends, at = set(), 0
+        for p in parts:
+            at += len(p)
+            ends.add(at)
+        at = 0
+        for s in C.pieces(t, C.ENDS):
+            if len(s) <= 50 and len(t) > 50:
+                assert not any(at < e < at + len(s) for e in ends)
+            at += len(s)
+    long = "甲" * 30 + "，" + "乙" * 30 + "。"
+    assert C.split("短句。" + long + "尾句。", 50) == ["短句。", "甲" * 30 + "，", "乙" * 30 + "。", "尾句。"]
+    assert C.split("字" * 120, 50) == ["字" * 50, "字" * 50, "字" * 20]
+
+
+def test_children_pair_cut_and_absorb():
+    s = lambda c, n: c * (n - 1) + "。"
+    assert C.children([s("甲", 50), s("乙", 60), s("丙", 20)]) == [s("甲", 50) + s("乙", 60), s("丙", 20)]
+    assert C.children([s("甲", 60), s("乙", 60), s("丙", 40)]) == [s("甲", 60), s("乙", 60) + s("丙", 40)]
+    assert C.children([s("甲", 100), s("乙", 14)]) == [s("甲", 100) + s("乙", 14)]
+    assert C.children([s("乙", 14), s("甲", 105)]) == [s("乙", 14), s("甲", 105)]
+    cut = C.children([s("字", 230), s("乙", 20)])
+    assert [len(c) for c in cut] == [110, 110, 10, 20] and "".join(cut) == s("字", 230) + s("乙", 20)
+    assert C.cut_long("甲" * 60 + "；" + "乙" * 60, 110) == ["甲" * 60 + "；", "乙" * 60]
+    assert C.cut_long("甲" * 5 + "，" + "乙" * 120, 110) == ["甲" * 5 + "，" + "乙" * 104, "乙" * 16]
+    assert C.children(["2024年3月1日", "打印", s("甲", 30)]) == ["2024年3月1日打印", s("甲", 30)] and C.children(["打印"]) == []
+
+
+def element(kind, text="", items=(), header=(), rows=(), section=0):
+    return {"kind": kind, "text": text, "items": list(items), "header": list(header), "rows": [list(r) for r in rows], "section": section}
+
+
+def test_document_chunks_and_families():
+    es = [element("paragraph", "甲" * 300), element("list", items=["乙" * 100, " ", "打印", "丙" * 50]), element("table", header=["名"], rows=[["A", "b"], ["", ""]]), element("paragraph", "丁" * 600 + "。" + "戊" * 20), element("paragraph", "己", section=1)]
+    got = C.document_chunks(es)
+    assert [(a, b, k, len(t)) for a, b, k, t in got] == [(0, 0, "text", 450), (0, 1, "table_row", 8), (0, 2, "text", 512), (0, 3, "text", 76 + 89), (0, 4, "text", 76 + 20), (1, 0, "text", 1)]
+    assert got[1][3] == "名：A；列2：b"
+    fam = C.document_families(es)
+    assert [(r, p, k) for _, r, p, _, k, _ in fam if r == "parent"] == [("parent", 0, "text"), ("parent", 1, "list"), ("parent", 2, "table_summary"), ("parent", 3, "text"), ("parent", 4, "text"), ("parent", 5, "text"), ("parent", 0, "text")]
+    assert [t for _, r, p, _, k, t in fam if k == "table_summary"] == ["表格共 2 行，列：名"]
+    assert all(len(t) <= 600 for _, r, *_, t in fam if r == "parent") and all(len(t) <= 130 for _, r, *_, t in fam if r == "child")
+    assert C.document_chunks([]) == [] and C.units(element("table", "概述")) == [("table", "概述")]
 
 
 def test_overlap(spark):
@@ -183,7 +222,9 @@ def test_sources(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         I.read_jsonl(spark, str(tmp_path / "b.jsonl"), "x int").collect()
     assert I.read_jsonl(spark, str(tmp_path / "b.jsonl"), "x int", strict=False).count() == 1
-    assert I.decode_bytes("病历".encode("gb18030"))[0] == "病历" and I.decode_bytes(b"\xff\xff")[1] == "utf-8"
+    assert I.decode_bytes("病历".encode("gb18030")) == ("病历", "gb18030", "detected") and I.decode_bytes(b"\xff\xff")[1:] == ("utf-8", "fallback")
+    assert I.decode_bytes("我們一起去學校".encode("big5"))[:2] == ("我們一起去學校", "big5")
+    assert I.decode_bytes(b"a\xffb", "UTF8") == ("a\ufffdb", "utf-8", "declared") and I.decode_bytes(b"ab", "no-such")[2] == "detected"
     title, els = I.parse_html("<title>T</title><nav>x</nav><h2>A</h2><p>one<p>two<ul><li>i</ul><table><tr><th>n<th>v<tr><td>a<td>1</table><script>s</script>")
     assert title == "T" and els == [("heading", 2, "A"), ("paragraph", 0, "one"), ("paragraph", 0, "two"), ("list", 0, "i"), ("table_row", 0, "n：a；v：1")]
     req = spark.createDataFrame([("a",), ("b",)], "key string")
