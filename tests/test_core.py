@@ -186,11 +186,11 @@ def test_curves(spark):
     assert M.auroc(df.where("ok"), "s", "ok").first().auroc is None
     t = M.select_threshold(df, "s", "ok").first()
     assert (t.threshold, t.useful, t.false_answers) == (pytest.approx(0.45), 2, 1)
-    r = {x.threshold: (x.n, x.risk) for x in M.risk_coverage(df, "s", "ok", "s").collect()}
+    r = {x.threshold: (x.n, x.risk) for x in M.risk_coverage(df, "s", "ok").collect()}
     assert r[0.8] == (3, pytest.approx(1 / 3))
     k = M.kappa(spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), (None, "a")], "x string, y string"), "x", "y").first()
     assert k.n == 3 and k.kappa == pytest.approx(((2 / 3) - (4 / 9)) / (1 - 4 / 9))
-    b = M.bootstrap_mean(df.withColumn("g", F.lit("g")), "g", "s").first()
+    b = M.bootstrap_mean(df.withColumn("g", F.lit("g")), "g", "s", "s").first()
     assert b.low <= b["mean"] <= b.high
 
 
