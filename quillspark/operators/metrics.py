@@ -141,7 +141,7 @@ def bootstrap_mean(df: DataFrame, by: str, value: str, order: str, resamples: in
         return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [sum(v) / n], "low": [means[int(0.025 * resamples)]], "high": [means[int(0.975 * resamples) - 1]]})
 
     kind = dict(df.dtypes)[by]
-    return df.select(by, value, order).where(F.col(value).isNotNull()).groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
+    return df.select(*dict.fromkeys([by, value, order])).where(F.col(value).isNotNull()).groupBy(by).applyInPandas(one, f"{by} {kind}, mean double, low double, high double")
 
 
 def bootstrap_poisson(df: DataFrame, by: str, value: str, key: str, resamples: int = 500) -> DataFrame:

@@ -56,12 +56,82 @@ def decode_bytes(spark, d):
     return I.decoded(raw, declared="declared")
 
 
-@R.add("html_text")
-def html_text(spark, d):
+def _pages(spark, d):
+    """Chunk texts as pages: their lines are paragraphs, lists and bold lines inside a content container, with furniture around it."""
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
-    body = F.array_join(F.transform(F.split(esc, "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
-    pages = table(spark, d, "chunks").where("metadata.content_kind = 'web_page' and text is not null").select("chunk_id", F.concat(F.lit("<html><nav>menu</nav><h1>title</h1>"), body, F.lit("</html>")).alias("html"))
-    return I.html_elements(pages, "chunk_id")
+    body = F.array_join(F.transform(F.split(esc, "\n", -1), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("<p>"), x)).when(i % 3 == 1, F.concat(F.lit("<ul><li>"), x, F.lit("</li></ul>"))).otherwise(F.concat(F.lit("<h3>"), x, F.lit("</h3>")))), "")
+    html = F.concat(F.lit("<html><title>t</title><nav>menu</nav><div class='share-bar'>share</div><main id='body-text'><div class='ad'>x</div>"), body, F.lit("</main><p>after</p></html>"))
+    return table(spark, d, "chunks").where("text is not null").select("chunk_id", html.alias("html"))
+
+
+RULES = I.PageRules(content_ids=frozenset({"body-text"}), skip_classes=frozenset({"ad", "share"}))
+LINES_SQL = "select chunk_id, i, trim(regexp_replace(l, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) l from (select chunk_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) - 1 i from chunks where text is not null)"
+
+
+@R.add("html_elements", f"select chunk_id, kind, count(*) n, sum(length(l))::bigint chars from (select chunk_id, l, case i % 3 when 0 then 'paragraph' when 1 then 'list' else 'heading' end kind from ({LINES_SQL}) where l <> '') group by 1, 2")
+def html_elements(spark, d):
+    e = I.html_elements(_pages(spark, d), "chunk_id", rules=RULES)
+    return e.groupBy("chunk_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@R.add("html_text", f"select chunk_id, string_agg(l, chr(10) order by i) as text from ({LINES_SQL}) where l <> '' group by 1")
+def html_text(spark, d):
+    return I.html_text(_pages(spark, d), "chunk_id", rules=RULES)
+
+
+@R.add("mediawiki_pages", "select document_id, title, '<p>' || coalesce(publisher, '') || '</p>' html from sources where title is not null")
+def mediawiki_pages(spark, d):
+    html = F.concat(F.lit("<p>"), F.coalesce("publisher", F.lit("")), F.lit("</p>"))
+    s = table(spark, d, "sources").where("title is not null")
+    body = F.when(F.length("document_id") % 2 == 0, F.to_json(F.struct(F.struct("title", F.create_map(F.lit("*"), html).alias("text")).alias("parse")))).otherwise(F.to_json(F.struct(F.struct("title", html.alias("text")).alias("parse"))))
+    return I.mediawiki_html(s.select("document_id", body.alias("body")), "document_id")
+
+
+@R.add("corpus_report", f"select kind, count(distinct chunk_id) documents, count(*) elements, sum(length(l))::bigint chars from (select chunk_id, l, case i % 3 when 0 then 'paragraph' when 1 then 'list' else 'heading' end kind from ({LINES_SQL}) where l <> '') group by 1")
+def corpus_report(spark, d):
+    at = _place(spark, "corpus")
+    I.write_corpus(I.html_elements(_pages(spark, d), "chunk_id", rules=RULES), "chunk_id", at)
+    return spark.read.schema("kind string, documents bigint, elements bigint, chars bigint").json(f"{at}/report")
+
+
+@R.add("trace_summary", "select last, count(*) cases, sum(n)::bigint events from (select case_id, count(*) n, arg_max(to_status, id) last from case_event_log where event_type = 'state_transition' group by 1) group by 1")
+def trace_summary(spark, d):
+    at = _place(spark, "traces")
+    I.write_traces(table(spark, d, "case_event_log").where("event_type = 'state_transition'"), "case_id", "id", at)
+    return spark.read.schema("last string, cases bigint, events bigint").json(f"{at}/summary")
+
+
+@R.add("manifest_file", "select n_nationkey, n_name from nation")
+def manifest_file(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name").agg(F.concat(F.lit("\ufeff"), F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))))).alias("value"))
+    at = _place(spark, "manifest")
+    n.write.text(at)
+    return I.manifest_file(spark, at, "struct<n_nationkey:bigint,n_name:string>")
+
+
+@R.add("strict_jsonl", "select count(*) n from queries")
+def strict_jsonl(spark, d):
+    at = _place(spark, "strict")
+    I.write_jsonl(table(spark, d, "queries").select("sample_id", "question"), at)
+    return I.checked_jsonl(spark, at).agg(F.count("*").alias("n"))
+
+
+@R.add("csv_summary", "select '表格共 ' || count(*) || ' 行，列：n_nationkey、n_name、n_regionkey' as text from nation")
+def csv_summary(spark, d):
+    return I.table_summary(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@R.add("vector_store", "select label, count(*) n from embeddings group by 1")
+def vector_store(spark, d):
+    """Vectors kept under the hash of their corpus: written once, read again."""
+    v = table(spark, d, "embeddings")
+    h = v.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.hash("vec_id")).cast("string"), F.lit(d)), 256)).first()[0]
+    return spark.read.parquet(I.hash_store(v, h, "r1")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@R.add("request_keys", "select sample_id, sha256(question || '#' || length(split)) as key from queries")
+def request_keys(spark, d):
+    return I.request_keys(table(spark, d, "queries").withColumn("t", F.length("split")), "question", "t").select("sample_id", "key")
 
 
 @R.add("replay_answers", "select sample_id as key, case when cast(substr(sample_id, 2) as bigint) % 2 = 0 then 'own:' else 'base:' end || split body from queries")
@@ -85,7 +155,7 @@ def stream_event_counts(spark, d):
 @R.add("stream_dedup", "select count(*) n from (select distinct case_id, event_type, from_status, to_status, trigger_subject, trigger_entity, detail, created_at from case_event_log)")
 def stream_dedup(spark, d):
     key = ["case_id", "event_type", "from_status", "to_status", "trigger_subject", "trigger_entity", "detail", "created_at"]
-    return L.drain(L.deduplicated(L.tail(spark, d, "case_event_log"), key, "created_at", "1000 days")).agg(F.count("*").alias("n"))
+    return L.drain(L.deduplicated(L.tail(spark, d, "case_event_log"), key, "created_at", "2 days")).agg(F.count("*").alias("n"))
 
 
 @R.add("stream_windows", "select event_type, epoch(time_bucket(interval 1 day, ts))::bigint day_s, count(*) n from events group by 1, 2")
@@ -94,7 +164,7 @@ def stream_windows(spark, d):
     return out.select("event_type", F.unix_seconds("start").alias("day_s"), "n")
 
 
-@R.add("stream_case_fold", "select case_id, arg_max(to_status, id) status, count(*) steps from case_event_log where to_status is not null group by 1")
+@R.add("stream_case_fold", "select case_id, arg_max(to_status, id) status, count(distinct (event_type, from_status, to_status, trigger_subject, trigger_entity, detail, created_at)) steps from case_event_log where to_status is not null group by 1")
 def stream_case_fold(spark, d):
     out = L.drain(L.folded(L.tail(spark, d, "case_event_log")), "update")
     return out.groupBy("case_id").agg(F.max(F.struct("steps", "status")).alias("m")).select("case_id", F.col("m.status").alias("status"), F.col("m.steps").alias("steps"))

@@ -43,8 +43,8 @@ def qrels(spark, d):
     return q.select(F.col("sample_id").alias("query_id"), F.explode("gold_evidence_ids").alias("id"))
 
 
-def bm25_scores(spark, d):
-    return K.bm25(docs(spark, d), asks(spark, d))
+def bm25_scores(spark, d, index=None):
+    return K.bm25(index if index is not None else docs(spark, d), asks(spark, d))
 
 
 def vectors(spark, d):
@@ -95,14 +95,16 @@ def knn_filtered(spark, d):
 
 @R.add("rrf_fuse", f"with {BM25_SQL}, nn as (select count(*) n from docs), df as (select term, count(*) df from post group by term), qi as (select query_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) idf from (select distinct query_id, unnest(tokens) term from asks) left join df using (term), nn), mass as (select query_id, sum(idf) mass from qi group by query_id), cov as (select query_id, id, sum(idf) / any_value(mass) score from post join qi using (term) join mass using (query_id) group by query_id, id), u as (select query_id, id, 1.0 / (60 + rank) s, 0 src from {TOP.format(t='bm', k=20)} union all select query_id, id, 1.0 / (60 + rank), 1 from {TOP.format(t='cov', k=20)}), f as (select query_id, id, sum(s::double) score, string_agg(src::varchar, ',' order by src) sources from u group by query_id, id) select query_id, id, rank, round(score, 7) score, sources from {TOP.format(t='f', k=10)}")
 def rrf_fuse(spark, d):
-    a, b = K.top(bm25_scores(spark, d), 20), K.top(K.coverage(docs(spark, d), asks(spark, d)), 20)
+    ix = K.indexed(docs(spark, d))
+    a, b = K.top(bm25_scores(spark, d, ix), 20), K.top(K.coverage(ix, asks(spark, d)), 20)
     f = K.rrf([a, b]).select("query_id", "id", "score", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
     return K.top(f, 10).select("query_id", "id", "rank", F.round("score", 7).alias("score"), "sources")
 
 
 @R.add("hybrid_linear_topk", f"with {BM25_SQL}, nn as (select count(*) n from docs), df as (select term, count(*) df from post group by term), qi as (select query_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) idf from (select distinct query_id, unnest(tokens) term from asks) left join df using (term), nn), mass as (select query_id, sum(idf) mass from qi group by query_id), cov as (select query_id, id, sum(idf) / any_value(mass) score from post join qi using (term) join mass using (query_id) group by query_id, id), nb as (select query_id, id, score / max(score) over (partition by query_id) score from bm), f as (select query_id, id, 0.2 * coalesce(c.score, 0) + 0.8 * coalesce(b.score, 0) score from cov c full join nb b using (query_id, id)) select query_id, id, rank, round(score, 6) score from {TOP.format(t='f', k=10)}")
 def hybrid_linear_topk(spark, d):
-    f = K.linear(K.coverage(docs(spark, d), asks(spark, d)), K.normalised(bm25_scores(spark, d)), 0.2)
+    ix = K.indexed(docs(spark, d))
+    f = K.linear(K.coverage(ix, asks(spark, d)), K.normalised(bm25_scores(spark, d, ix)), 0.2)
     return K.top(f, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -148,7 +150,8 @@ def hit_by_bucket(spark, d):
 
 @R.add("judgment_pool", f"with {BM25_SQL}, nn as (select count(*) n from docs), df as (select term, count(*) df from post group by term), qi as (select query_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) idf from (select distinct query_id, unnest(tokens) term from asks) left join df using (term), nn), mass as (select query_id, sum(idf) mass from qi group by query_id), cov as (select query_id, id, sum(idf) / any_value(mass) score from post join qi using (term) join mass using (query_id) group by query_id, id), u as (select query_id, id, 'bm25' m from {TOP.format(t='bm', k=5)} union all select query_id, id, 'coverage' from {TOP.format(t='cov', k=5)}) select query_id, id, string_agg(m, ',' order by m) methods from u group by query_id, id")
 def judgment_pool(spark, d):
-    return M.pool([("bm25", K.top(bm25_scores(spark, d), 5)), ("coverage", K.top(K.coverage(docs(spark, d), asks(spark, d)), 5))], 5)
+    ix = K.indexed(docs(spark, d))
+    return M.pool([("bm25", K.top(bm25_scores(spark, d, ix), 5)), ("coverage", K.top(K.coverage(ix, asks(spark, d)), 5))], 5)
 
 
 LABELLED = f"with s as ({DENSE}), t as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) rank from s where id <> query_id)"

@@ -35,21 +35,25 @@ def windowed(stream: DataFrame, time: str, by: str, width: str = "1 hour", delay
     return s.groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def folded(stream: DataFrame, case: str = "case_id") -> DataFrame:
-    """(case, status, steps) after each micro-batch: a stateful fold that keeps the last state and the number of transitions of a case."""
+def folded(stream: DataFrame, case: str = "case_id", content: list[str] | None = None) -> DataFrame:
+    """(case, status, steps) after each micro-batch: a stateful fold that keeps the last state (by id, however late rows arrive) and the number of transitions of a case.
+
+    A transition delivered again (equal in `content`, by default all columns but the id) counts once: the state holds a hash of each transition of the case, which are few."""
+    content = content or [c for c in stream.columns if c != "id"]
 
     def step(key, pdfs, state):
-        last, status, steps = state.get if state.exists else (-1, None, 0)
+        last, status, seen = state.get if state.exists else (-1, None, [])
+        known = set(seen)
         for p in pdfs:
-            p = p.sort_values("id")
-            p = p[p["id"] > last]
-            if len(p):
-                last, status, steps = int(p["id"].iloc[-1]), p["to_status"].iloc[-1], steps + len(p)
-        state.update((last, status, steps))
-        yield pd.DataFrame({case: [key[0]], "status": [status], "steps": [steps]})
-
-    t = stream.where("to_status is not null").select(case, "id", "to_status")
-    return t.groupBy(case).applyInPandasWithState(step, f"{case} string, status string, steps long", "last long, status string, steps long", "update", GroupStateTimeout.NoTimeout)
+            known.update(p["h"].tolist())
+            top = p.loc[p["id"].idxmax()]
+            if int(top["id"]) > last:
+                last, status = int(top["id"]), top["to_status"]
+        state.update((last, status, sorted(known)))
+        yield pd.DataFrame({case: [key[0]], "status": [status], "steps": [len(known)]})
+
+    t = stream.where("to_status is not null").select(case, "id", "to_status", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in content]).alias("h"))
+    return t.groupBy(case).applyInPandasWithState(step, f"{case} string, status string, steps long", "last long, status string, seen array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
