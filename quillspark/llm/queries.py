@@ -10,6 +10,37 @@ from quillspark.registry import Registry, table
 R = Registry()
 
 
+def _reduced_sql(t: str) -> str:
+    """Letters and digits in lower case, full-width forms as plain ones: what NFKC does to the characters of these tables."""
+    wide = "".join(chr(0xFF01 + i) for i in range(94)).replace("'", "''")
+    plain = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+    return f"regexp_replace(lower(translate(nfc_normalize({t}), '{wide}', '{plain}')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _windows_sql(t: str, n: int) -> str:
+    return f"list_distinct(list_transform(range(1, length({t}) - {n - 2}), lambda i: substring({t}, i, {n})))"
+
+
+P2_SQL = f"""
+with q as (select sample_id, split, {_reduced_sql('question')} r from queries where split is not null and question is not null),
+g as (select sample_id, split = 'train' train, unnest({_windows_sql('r', 3)}) g from q where length(r) >= 3), n as (select sample_id, count(*) n from g group by 1),
+c as (select a.sample_id a, b.sample_id b, count(*) c from g a join g b on a.g = b.g and a.train and not b.train group by 1, 2)
+select least(a, b) sample_a, greatest(a, b) sample_b from c join n x on a = x.sample_id join n y on b = y.sample_id where c / (x.n + y.n - c) >= 0.7 - 1e-12 and a <> b
+"""
+P6_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1c}-\x{1f}\x{0b}]"
+P6_SQL = f"""
+with r as (select chunk_id, source_id, regexp_replace(text, '{P6_SPACE}+', '', 'g') s from chunks where text is not null),
+g as (select chunk_id, unnest({_windows_sql('s', 5)}) g from r where length(s) >= 5), n as (select chunk_id, count(*) n from g group by 1),
+c as (select a.chunk_id a, b.chunk_id b, count(*) c from g a join g b on a.g = b.g and a.chunk_id < b.chunk_id group by 1, 2)
+select a chunk_a, b chunk_b from c join n x on a = x.chunk_id join n y on b = y.chunk_id join r p on a = p.chunk_id join r q on b = q.chunk_id where c / (x.n + y.n - c) >= 0.8 - 1e-12 and p.source_id is distinct from q.source_id
+"""
+P9_SQL = f"""
+with i as (select item_id, unnest({_windows_sql('r', 50)}) w from (select item_id, {_reduced_sql('text')} r from heldout_items where text is not null) where length(r) >= 50),
+d as (select doc_id, unnest({_windows_sql('r', 50)}) w from (select doc_id, {_reduced_sql('text')} r from documents where text is not null) where length(r) >= 50)
+select distinct doc_id, item_id from d join i using (w)
+"""
+
+
 @R.add("p1_found")
 def p1_found(spark, d):
     c = p01_canonical.lookalike_pairs(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunks").alias("table_name"), "key_a", "key_b")
@@ -44,7 +75,7 @@ def p4_sentences(spark, d):
     return p04_sentences.units(table(spark, d, "chunks"), texts=True)
 
 
-@R.add("p2_found")
+@R.add("p2_found", P2_SQL)
 def p2_found(spark, d):
     return p02_overlap.found(table(spark, d, "queries"))
 
@@ -64,7 +95,7 @@ def p5_bodies(spark, d):
     return p05_page_body.bodies(table(spark, d, "chunks"))
 
 
-@R.add("p6_found")
+@R.add("p6_found", P6_SQL)
 def p6_found(spark, d):
     return p06_near_duplicates.found(table(spark, d, "chunks"))
 
@@ -112,7 +143,7 @@ def p8_joint(spark, d):
     return p08_packing.packed(table(spark, d, "documents"), [("joint", [c for _, c in _capacities(spark, d)])])
 
 
-@R.add("p9_found")
+@R.add("p9_found", P9_SQL)
 def p9_found(spark, d):
     return p09_leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
