@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import U64, batch_of, codepoints, h64, mix64, small_batches
-from quillspark.session import spread, staged
+from quillspark.session import release, spread, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
 SLOTS, WIDTH, MASKS, MAX_BITS = 64, 4, 12, 16
@@ -247,27 +247,38 @@ def candidate_pairs(records: DataFrame, node: int = NODE) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(x, y, similarity) of the pairs at or above the threshold; texts: (cls, text) of the classes in pairs."""
-    sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("cls"))
-    met = sides.join(texts, "cls").groupBy("x", "y").agg(F.min(F.struct("cls", "text")).alias("a"), F.max(F.struct("cls", "text")).alias("b")).select("x", "y", F.col("a.text").alias("a"), F.col("b.text").alias("b"))
+    """(x, y, similarity) of the pairs at or above the threshold; texts: (cls, text) of the classes in pairs.
+
+    The pairs of x stand next to its text after one shuffle, so a pair moves the text of y alone, and the set of x is made once."""
+    far = pairs.join(texts.select(F.col("cls").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "t")
+    near = texts.join(pairs.select(F.col("x").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("x"), F.lit(None).cast("bigint").alias("y"), F.col("text").alias("t"))
+    dealt = near.unionByName(far).repartition("x").sortWithinPartitions("x", F.col("y").asc_nulls_first())
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("similarity", pa.float64())])
 
+    def grams(t: str) -> set[str]:
+        t = squashed(t)
+        return {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)}
+
     def check(batches):
+        own: set[str] = set()
         for b in small_batches(batches, 2000):
-            d = b.to_pydict()
             kept = []
-            for x, y, s, t in zip(d["x"], d["y"], d["a"], d["b"], strict=True):
-                s, t = squashed(s), squashed(t)
-                u = {s[i : i + SHINGLE] for i in range(len(s) - SHINGLE + 1)}
-                v = {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)}
-                if min(len(u), len(v)) < threshold * max(len(u), len(v)) - 1e-9:
+            for x, y, t in zip(*b.to_pydict().values(), strict=True):
+                if y is None:
+                    own = grams(t)
+                    continue
+                # a text has at most as many substrings as characters
+                if len(t) < threshold * len(own):
+                    continue
+                v = grams(t)
+                if min(len(own), len(v)) < threshold * max(len(own), len(v)) - 1e-9:
                     continue
-                both = len(u & v)
-                if (alike := both / (len(u) + len(v) - both)) >= threshold - 1e-12:
+                both = len(own & v)
+                if (alike := both / (len(own) + len(v) - both)) >= threshold - 1e-12:
                     kept.append((x, y, alike))
             yield batch_of(schema, {f.name: [k[j] for k in kept] for j, f in enumerate(schema)})
 
-    return met.mapInArrow(check, "x bigint, y bigint, similarity double")
+    return dealt.mapInArrow(check, "x bigint, y bigint, similarity double")
 
 
 def class_links(chunks: DataFrame, threshold: float = THRESHOLD, node: int = NODE) -> tuple[DataFrame, DataFrame]:
@@ -319,6 +330,7 @@ def groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         after = staged(small, "p6-edges")
         if after.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(after).limit(1).count() == 0:
             break
+        release(edges, large)
         edges = after
     label = rep.join(edges.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("low")), "rep", "left").join(degree, "rep", "left").select("cls", F.coalesce("low", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return members.select("chunk_id", "cls").join(label, "cls").select("chunk_id", "group_id", "links").distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import batch_of
-from quillspark.session import spread
+from quillspark.session import spread, staged
 
 RUN = 50
 #: Blocks of one automaton: 200,000 blocks of 25 characters need at most about 300 MB in a worker.
@@ -102,7 +102,7 @@ def shared_runs(text: str, auto, items: list[tuple[int, str]], block: int, run:
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_limit: int = BLOCK_LIMIT, spans: bool = False) -> DataFrame:
     """(doc_id, item_id) of every document that shares a run with an item; with spans, also start_pos, end_pos (0-based, end exclusive, in the stored text) of each run."""
     spark, block = documents.sparkSession, run // 2
-    red = item_blocks(items, run).cache()
+    red = staged(item_blocks(items, run), "p9-items")
     n = red.agg(F.sum(F.floor(F.length("text") / block)).alias("n")).first().n or 0
     shards = max(1, -(-int(n) // (block_limit // 2)))
     kinds = "doc_id bigint, item_id bigint" + ", start_pos bigint, end_pos bigint" * spans
@@ -139,5 +139,4 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, block_limit: i
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    red.unpersist()
     return out.distinct()
