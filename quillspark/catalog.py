@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import answers, cleaning, corpus, inout, judging, log, pipeline, records, retrieval
+from quillspark.plans import answers, cleaning, corpus, inout, judging, log, pipeline, records, reports, retrieval
 
-MODULES = [retrieval.R, pipeline.R, corpus.R, cleaning.R, log.R, inout.R, answers.R, judging.R, records.R]
+MODULES = [retrieval.R, pipeline.R, corpus.R, cleaning.R, log.R, inout.R, answers.R, judging.R, records.R, reports.R]
 
 
 def queries():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from quillspark.functions import text as T
-from quillspark.session import spread, staged
+from quillspark.session import release, spread, staged
 
 PERMS, BANDS, THRESHOLD = 128, 32, 0.85
 
@@ -69,10 +69,11 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     while open_.limit(1).count():
         e = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(kept.select(F.col("id").alias("b"), "kept_as"), "b", "left")
         state = e.groupBy("a").agg(F.min(F.when(F.col("kept_as") == F.col("b"), F.struct("ob", "b"))).alias("host"), F.min(F.when(F.col("kept_as").isNull(), F.struct("ob", "b"))).alias("wait"))
-        done = state.where("wait is null or host < wait").select(F.col("a").alias("id"), F.coalesce("host.b", "a").alias("kept_as"))
-        done = staged(done, "greedy-done")
+        done = staged(state.where("wait is null or host < wait").select(F.col("a").alias("id"), F.coalesce("host.b", "a").alias("kept_as")), "greedy-done")
+        before = kept, open_
         kept = staged(kept.unionByName(done), "greedy-kept")
         open_ = staged(open_.join(done, "id", "left_anti"), "greedy-open")
+        release(done, *before)
     return kept
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def local_session(cores: int | str = 8, shuffle: int = 8) -> SparkSession:
@@ -36,12 +38,43 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_all(spark: SparkSession, path: str) -> None:
+    try:
+        if not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, path)
+    except Exception:  # the session is gone; what is left belongs to whoever cleans the shared folder
+        pass
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's staged tables, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
+    if path not in _CLEANED:
+        _CLEANED.add(path)
+        atexit.register(_delete_all, spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns the table, so that its lineage is cut and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later query reads, as those of earlier rounds of a loop."""
+    for t in tables:
+        if path := getattr(t, "_staged", None):
+            _delete(t.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
