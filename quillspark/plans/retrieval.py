@@ -188,7 +188,7 @@ def auroc(spark, d):
     return M.auroc(o, "s", "ok").select(F.round("auroc", 9).alias("auroc"))
 
 
-@R.add("paired_compare", f"with {BM25_SQL}, {METRICS}, o as (select hit_3 a, hit_1 b from pq) select count(*) n, round(avg(a), 6) mean_a, round(avg(b), 6) mean_b, round(avg(a) - avg(b), 6) diff, sum((a > b)::int)::bigint wins, sum((a < b)::int)::bigint losses, sum((a = b)::int)::bigint ties from o")
+@R.add("paired_compare", f"with {BM25_SQL}, {METRICS}, o as (select hit_3 a, hit_1 b from pq) select count(*) n, round(avg(a), 6) mean_a, round(avg(b), 6) mean_b, round(avg(a) - avg(b), 6) diff, count(*) filter (where a > b) wins, count(*) filter (where a < b) losses, count(*) filter (where a = b) ties from o")
 def paired_compare(spark, d):
     r = M.paired(_per_query(spark, d), "hit_3", "hit_1")
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "diff")], "wins", "losses", "ties")
