@@ -167,12 +167,19 @@ class _Page(HTMLParser):
             named = [f"{self.header[i] if i < len(self.header) else f'列{i + 1}'}：{c}" for i, c in enumerate(cells)]
             self.out.append(("table_row", 0, "；".join(named)))
 
+    def end_paragraph(self) -> None:
+        """A block that begins ends the paragraph it stands in, up to the nearest container."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == "p":
+                del self.open[i:]
+            if i >= len(self.open) or self.open[i][0] in _BREAK or self.open[i][0] in ("td", "th"):
+                break
+
     def handle_starttag(self, tag, attrs):
         d = {k: v or "" for k, v in attrs}
-        if tag == "p" and any(t == "p" for t, *_ in self.open):
-            self.handle_endtag("p")
         if tag in _BREAK or tag in ("td", "th"):
             self.flush()
+            self.end_paragraph()
         if tag not in _VOID:
             self.open.append((tag, tag in _SKIP or self.rules.skips(d), self.by is not None and self.rules.is_content(d, self.by)))
         if tag in ("strong", "b"):
