@@ -31,7 +31,7 @@ from quillspark.llm.common import batch_of, h64
 from quillspark.llm.p09_leakage import reduced
 from quillspark.session import spread, staged
 
-THRESHOLD, DEPTH, SHARD, SLICE = 0.7, 0.15, 20_000, 10_000
+THRESHOLD, DEPTH, SHARD, SLICE = 0.7, 0.15, 20_000, 25_000
 
 
 def grams(text: str) -> set[str]:
