@@ -121,7 +121,14 @@ def p7_found(spark, d):
     return p07_site_lines.repeated_lines(table(spark, d, "chunks"))
 
 
-@R.add("p7_clean")
+P7_CLEAN_SQL = f"""
+with cut as ({P7_SQL}), l as (select chunk_id, i - 1 line_no, line from (select chunk_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from chunks where text is not null)),
+k as (select chunk_id, string_agg(line, chr(10) order by line_no) t from l anti join cut using (chunk_id, line_no) group by 1), n as (select chunk_id, count(*)::int n from cut group by 1)
+select chunk_id, case when text is not null then coalesce(t, '') end as text, coalesce(n, 0) removed from chunks left join k using (chunk_id) left join n using (chunk_id)
+"""
+
+
+@R.add("p7_clean", P7_CLEAN_SQL)
 def p7_clean(spark, d):
     return p07_site_lines.without_repeated_lines(table(spark, d, "chunks"))
 
