@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from quillspark.functions import text as T
+from quillspark.operators.rank import small
 from quillspark.session import release, spread, staged
 
-PERMS, BANDS, THRESHOLD = 128, 32, 0.85
+PERMS, BANDS, TURNS, PARITIES, THRESHOLD = 128, 32, 4, 6, 0.85
+
+
+def codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def small_batches(batches, rows: int = 2000):
+    for t in batches:
+        for i in range(0, t.num_rows, rows):
+            yield t.slice(i, rows)
 
 
 def first_of_equal(df: DataFrame, key: list, order: list) -> DataFrame:
@@ -19,38 +41,128 @@ def first_of_equal(df: DataFrame, key: list, order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def band_keys(sets: pd.Series) -> pd.Series:
-    """For each set of shingles the keys of BANDS bands of MinHash values (PERMS multiply-shift permutations of the 64-bit hashes)."""
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the 5-character substrings of squashed texts, one after the other, and where each text begins; a text of at most 5 characters is its own only one."""
+    size = np.array([max(5, len(x)) for x in texts])
+    c = np.full(size.sum() + 4, 0x1FFFFF, np.uint64)  # no character: fills short texts
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    for i, x in zip(at.tolist(), texts):
+        c[i : i + len(x)] = codepoints(x)
+    n = len(c) - 4
+    a = c[:n] | c[1 : n + 1] << np.uint64(21) | c[2 : n + 2] << np.uint64(42)
+    h = mix64(a + mix64(c[3 : n + 3] | c[4 : n + 4] << np.uint64(21)))
+    keep = np.ones(n, bool)
+    for k in range(1, 5):
+        keep[at + size - k] = False
+    return h[keep], np.concatenate([[0], np.cumsum(size - 4)[:-1]])
+
+
+def _shingles(text: str) -> np.ndarray:
+    return np.unique(_windows([text])[0])
+
+
+def _permutations(turn: int) -> tuple:
+    """The permutations and bands of one of TURNS turns."""
     rng = np.random.default_rng(1)
     mult = rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, PERMS, dtype=np.uint64)
-    rows = PERMS // BANDS
-    fold = rng.integers(0, 1 << 63, (BANDS, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = []
-    for words in sets:
-        h = np.asarray(words, dtype=np.int64).view(np.uint64)
-        low = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(h), 4096):
-            low = np.minimum(low, ((h[i : i + 4096, None] * mult + add) >> np.uint64(1)).min(axis=0))
-        out.append((((low.reshape(BANDS, rows) * fold).sum(axis=1) ^ np.arange(BANDS, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64))
-    return pd.Series(out)
+    fold = rng.integers(0, 1 << 63, (BANDS, PERMS // BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    p, b = slice(turn * PERMS // TURNS, (turn + 1) * PERMS // TURNS), slice(turn * BANDS // TURNS, (turn + 1) * BANDS // TURNS)
+    return mult[p], add[p], fold[b], np.arange(BANDS, dtype=np.uint64)[b]
+
+
+def _keyed(turn: int):
+    mult, add, fold, at = _permutations(turn)
+
+    def run(batches):
+        for t in small_batches(batches, 200):
+            # copies within a batch are one text
+            h, first = np.unique(t.column("h").to_numpy(zero_copy_only=False), return_index=True)
+            words, begin = _windows(t.column("s").take(pa.array(first)).to_pylist())
+            sets = [np.unique(x) for x in np.split(words, begin[1:])]
+            n = np.array([len(x) for x in sets], np.int32)
+            odd = np.stack([np.packbits(np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).view(np.int64) for x in sets])
+            low = np.stack([np.minimum.reduceat((words * m + d) >> np.uint64(1), begin) for m, d in zip(mult, add)], axis=1)
+            keys = mix64((low.reshape(len(h), *fold.shape) * fold).sum(axis=2) ^ at).view(np.int64)
+            k = keys.shape[1]
+            yield pa.RecordBatch.from_pydict({"band": keys.ravel(), "h": np.repeat(h, k), "n": np.repeat(n, k)} | {f"p{i}": np.repeat(odd[:, i], k) for i in range(PARITIES)})
+
+    return run
+
+
+def _partners(threshold: float):
+    """Pairs of texts of one band whose sizes and parities allow the threshold, from rows that hold every band as a whole; a partition is a few MB of numbers.
+
+    Two sets differ in at least as many members as their parities (whether a bucket of hashes holds an odd number of members) do, so no pair is lost."""
+    columns = ["band", "h", "n", *(f"p{i}" for i in range(PARITIES))]
+    apart = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        held = [np.array(t.column(c).to_numpy(zero_copy_only=False)) for t in batches for c in columns]
+        if not held:
+            return
+        band, h, n, *odd = (np.concatenate(held[i :: len(columns)]) for i in range(len(columns)))
+        order = np.lexsort((h, n, band))
+        order = order[np.concatenate([[True], (np.diff(band[order]) != 0) | (np.diff(h[order]) != 0)])]
+        band, h, n, odd = band[order], h[order], n[order], [p[order] for p in odd]
+        # rows of a band stand by size: each meets those after it, a step further every round, until all are too large
+        left, step = np.arange(len(h)), 1
+        while len(left):
+            left = left[left + step < len(h)]
+            right = left + step
+            ok = (band[left] == band[right]) & (n[left] >= threshold * n[right] - 1e-9)
+            left, right = left[ok], right[ok]
+            differ = sum(np.bitwise_count((p[left] ^ p[right]).view(np.uint64)).astype(np.int64) for p in odd)
+            near = differ <= apart * (n[left] + n[right]) + 1e-6
+            a, b = h[left[near]], h[right[near]]
+            for i in range(0, len(a), 100_000):
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                yield pa.RecordBatch.from_pydict({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+            step += 1
+
+    return run
+
+
+def _checked(threshold: float):
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def words(key: int, text: str) -> np.ndarray:
+            if key not in held:
+                if len(held) >= 2000:
+                    held.clear()
+                held[key] = _shingles(text)
+            return held[key]
+
+        for t in small_batches(batches):
+            sim = []
+            for x, y, s, o in zip(*(t.column(c).to_pylist() for c in ("x", "y", "s", "o"))):
+                u, v = words(x, s), words(y, o)
+                both = len(np.intersect1d(u, v, assume_unique=True)) if min(len(u), len(v)) >= threshold * max(len(u), len(v)) - 1e-9 else 0
+                sim.append(both / (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([t.column("i"), t.column("j"), pa.array(sim, pa.float64())], ["i", "j", "similarity"])
+
+    return run
 
 
 def similar_pairs(df: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of rows whose 5-character shingle sets reach the threshold: MinHash bands, then the exact value.
 
-    Equal texts are one class; pairs are between class representatives (see `classes`). 32 bands of 4 values miss a pair at 0.85 with probability 1e-10."""
-    reps = df.where(F.length(T.squash(F.col(text))) > 0).groupBy(T.squash(F.col(text)).alias("s")).agg(F.min(key).alias("id"))
-    # shingles as 64-bit hashes: half the bytes of the strings, and sets of numbers compare faster
-    sh = staged(spread(reps).select("id", F.transform(T.shingles(F.col("s")), lambda x: F.xxhash64(x)).alias("sh")), "shingles")
-    keyed = staged(sh.select("id", F.size("sh").alias("n"), F.explode(band_keys("sh")).alias("band")), "bands")
-    other = keyed.select(F.col("id").alias("b"), F.col("n").alias("m"), "band")
-    # sizes alone rule out pairs whose sets differ too much in length
-    pairs = keyed.join(other, "band").where((F.col("id") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
-    full = pairs.join(sh.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sh.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return full.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
+    Equal texts are one class; pairs are between class representatives (see `classes`). 32 bands of 4 values miss a pair at 0.85 with probability 1e-10.
+    A row of the bands' shuffle is a key, a text's hash, its size and 384 parities, which rule out most pairs that share a band by chance. The bands come in TURNS turns, each with the texts read again, so the disk holds one turn's rows; only texts of candidate pairs are moved."""
+    s = spread(df.select(F.col(key).alias("id"), T.squash(F.col(text)).alias("s")).where(F.length("s") > 0)).select("id", F.xxhash64("s").alias("h"), "s")
+    found = []
+    for turn in range(TURNS):
+        keyed = s.select("h", "s").mapInArrow(_keyed(turn), "band bigint, h bigint, n int, " + ", ".join(f"p{i} bigint" for i in range(PARITIES))).repartition("band")
+        found.append(staged(keyed.mapInArrow(_partners(threshold), "x bigint, y bigint").distinct(), "candidates"))
+    pairs = staged(reduce(DataFrame.union, found).distinct(), "candidates")
+    release(*found)
+    asked = small(staged(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct(), "asked"))
+    reps = staged(s.join(asked, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s")), "asked-texts")
+    full = pairs.join(reps.select(F.col("h").alias("x"), F.col("id").alias("i"), "s"), "x").join(reps.select(F.col("h").alias("y"), F.col("id").alias("j"), F.col("s").alias("o")), "y")
+    kind = df.schema[key].dataType.simpleString()
+    sim = full.select("x", "y", "i", "j", "s", "o").mapInArrow(_checked(threshold), f"i {kind}, j {kind}, similarity double").where(F.col("similarity") >= threshold)
+    return sim.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def classes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
