@@ -72,7 +72,7 @@ def test_bm25_top_ranks_as_all_pairs_do(spark, limit, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
-@pytest.mark.parametrize("name", ["bm25_topk", "bm25_normalised", "hybrid_linear_topk", "rrf_fuse", "graded_metrics", "judgment_pool", "rank_metrics", "paired_compare"])
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_normalised", "hybrid_linear_topk", "rrf_fuse", "graded_metrics", "judgment_pool", "rank_metrics", "paired_compare", "bootstrap_mean"])
 def test_no_row_for_every_pair_of_query_and_document(spark, monkeypatch, name):
     def fail(*args, **kwargs):
         raise AssertionError("a row a pair")
