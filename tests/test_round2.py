@@ -7,6 +7,7 @@ import pytest
 
 from quillspark import catalog
 from quillspark.operators import dedup as D
+from quillspark.operators import pipeline as P
 from quillspark.operators import rank as K
 
 
@@ -80,3 +81,15 @@ def test_no_row_for_every_pair_of_query_and_document(spark, monkeypatch, name):
     monkeypatch.setattr(K, "bm25", fail)
     monkeypatch.setattr(K, "coverage", fail)
     catalog.queries()[name](spark, TABLES).collect()
+
+
+@pytest.mark.parametrize("sent", [20_000, 0])
+def test_contained_moves_no_pieces_of_the_large_side(spark, monkeypatch, sent):
+    monkeypatch.setattr(P, "SENT", sent)
+    needles = spark.createDataFrame([("流感",), ("感",), (None,), ("a\nb",), ("𠀀𠀁",), ("流感",)], "v string")
+    hays = spark.createDataFrame([("儿童流感与流感疫苗",), ("流",), (None,), ("xa\nbc",), ("甲𠀀𠀁乙",)], "t string")
+    got = P.contained(needles, hays, "v", "t")
+    assert sorted((r.needle, r.hay) for r in got.collect()) == sorted([("流感", "儿童流感与流感疫苗"), ("a\nb", "xa\nbc"), ("𠀀𠀁", "甲𠀀𠀁乙")])
+    if sent:
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
