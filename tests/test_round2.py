@@ -93,3 +93,11 @@ def test_contained_moves_no_pieces_of_the_large_side(spark, monkeypatch, sent):
     if sent:
         assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_names_inside_few_keywords_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(P, "SENT", 5)
+    names = spark.createDataFrame([(f"甲乙{i}",) for i in range(10)], "name string")
+    got = P.contained(names, spark.createDataFrame([("前甲乙7后",)], "keyword string"), "name", "keyword")
+    assert [(r.needle, r.hay) for r in got.collect()] == [("甲乙7", "前甲乙7后")]
+    assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
