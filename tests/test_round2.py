@@ -101,3 +101,11 @@ def test_many_names_inside_few_keywords_are_not_shuffled(spark, monkeypatch):
     got = P.contained(names, spark.createDataFrame([("前甲乙7后",)], "keyword string"), "name", "keyword")
     assert [(r.needle, r.hay) for r in got.collect()] == [("甲乙7", "前甲乙7后")]
     assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_document_dedup_stages_no_text_without_partner(spark, staged_rows):
+    rows = catalog.queries()["document_dedup"](spark, TABLES).count()
+    search = {"candidates", "asked", "asked-texts"}
+    assert {x for x, _ in staged_rows if not x.startswith("greedy")} == search
+    assert sum(n for x, n in staged_rows if x in search) < rows
