@@ -14,7 +14,8 @@ from quillspark.functions import text as T
 from quillspark.operators.rank import small
 from quillspark.session import release, spread, staged
 
-PERMS, BANDS, TURNS, PARITIES, THRESHOLD = 128, 32, 4, 6, 0.85
+PERMS, BANDS, TURNS, PARITIES, THRESHOLD = 128, 32, 8, 6, 0.85
+SENT = 50_000  # rows with an id sent to every task at most
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -79,9 +80,15 @@ def _keyed(turn: int):
             # copies within a batch are one text
             h, first = np.unique(t.column("h").to_numpy(zero_copy_only=False), return_index=True)
             words, begin = _windows(t.column("s").take(pa.array(first)).to_pylist())
-            sets = [np.unique(x) for x in np.split(words, begin[1:])]
-            n = np.array([len(x) for x in sets], np.int32)
-            odd = np.stack([np.packbits(np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).view(np.int64) for x in sets])
+            for x in np.split(words, begin[1:]):  # views: each text's words are sorted in place
+                x.sort()
+            row = np.repeat(np.arange(len(h)), np.diff(np.append(begin, len(words))))
+            once = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])])
+            words, row = words[once], row[once]
+            n = np.bincount(row, minlength=len(h)).astype(np.int32)
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            buckets = row * (64 * PARITIES) + (words % np.uint64(64 * PARITIES)).astype(np.int64)
+            odd = np.packbits((np.bincount(buckets, minlength=len(h) * 64 * PARITIES) & 1).astype(np.uint8).reshape(len(h), -1), axis=1).view(np.int64)
             low = np.stack([np.minimum.reduceat((words * m + d) >> np.uint64(1), begin) for m, d in zip(mult, add)], axis=1)
             keys = mix64((low.reshape(len(h), *fold.shape) * fold).sum(axis=2) ^ at).view(np.int64)
             k = keys.shape[1]
@@ -171,13 +178,17 @@ def classes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return s.join(s.groupBy("s").agg(F.min(key).alias("rep")), "s").select(key, "rep")
 
 
-def greedy_keep(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
-    """(id, kept_as): rows visited by `order`; one similar to an already kept row is dropped in its favour, not transitively.
+def decided(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
+    """(id, kept_as) of the ids that pairs hold: rows visited by `order`; one similar to an already kept row is dropped in its favour, not transitively.
 
-    Every round decides all rows whose earlier neighbours are decided, so the work is a few joins and no component is gathered."""
-    edges = staged(pairs.select("a", "b").union(pairs.select("b", "a")).join(ids.select(F.col("id").alias("a"), F.col(order).alias("oa")), "a").join(ids.select(F.col("id").alias("b"), F.col(order).alias("ob")), "b").where("ob < oa or (ob = oa and b < a)"), "greedy-edges")
+    Every round decides all rows whose earlier neighbours are decided, so the work is a few joins and no component is gathered. What is staged grows with the pairs, not with the ids."""
+    once = staged(pairs.select("a", "b"), "greedy-pairs")  # the pairs are made once, not for either direction
+    both = once.union(once.select("b", "a"))
+    met = small(staged(both.select(F.col("a").alias("id")).distinct(), "greedy-met"), SENT)
+    known = staged(ids.select("id", order).join(met, "id", "left_semi"), "greedy-ids")
+    edges = staged(both.join(known.select(F.col("id").alias("a"), F.col(order).alias("oa")), "a").join(known.select(F.col("id").alias("b"), F.col(order).alias("ob")), "b").where("ob < oa or (ob = oa and b < a)"), "greedy-edges")
     open_ = staged(edges.select(F.col("a").alias("id")).distinct(), "greedy-open")
-    kept = staged(ids.select("id").join(open_, "id", "left_anti").withColumn("kept_as", F.col("id")), "greedy-kept")
+    kept = staged(known.select("id").join(open_, "id", "left_anti").withColumn("kept_as", F.col("id")), "greedy-kept")
     while open_.limit(1).count():
         e = edges.join(open_.select(F.col("id").alias("a")), "a", "left_semi").join(kept.select(F.col("id").alias("b"), "kept_as"), "b", "left")
         state = e.groupBy("a").agg(F.min(F.when(F.col("kept_as") == F.col("b"), F.struct("ob", "b"))).alias("host"), F.min(F.when(F.col("kept_as").isNull(), F.struct("ob", "b"))).alias("wait"))
@@ -186,9 +197,17 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
         kept = staged(kept.unionByName(done), "greedy-kept")
         open_ = staged(open_.join(done, "id", "left_anti"), "greedy-open")
         release(done, *before)
+    release(once, edges, known, open_)
     return kept
 
 
+def greedy_keep(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
+    """(id, kept_as) of all ids, see `decided`; an id without a pair is kept as itself and passes through."""
+    kept = decided(ids, pairs, order)
+    free = ids.select("id").join(small(kept.select("id"), SENT), "id", "left_anti").withColumn("kept_as", F.col("id"))
+    return free.unionByName(kept)
+
+
 def sample_recall(pairs: DataFrame, truth: pd.DataFrame) -> float:
     """Share of the true (a, b) pairs that `pairs` has."""
     got = pairs.sparkSession.createDataFrame(truth).join(pairs, ["a", "b"], "left_semi").count()

@@ -137,11 +137,11 @@ def jaccard_pairs(spark, d):
 def document_dedup(spark, d):
     """Documents in order of evidence level, number of elements (most first) and id; the kept row that each near-duplicate is dropped for. Chunks stand in for documents, their lines for elements."""
     docs = table(spark, d, "chunks").where("text is not null")
-    reps = D.classes(docs, "chunk_id").where("chunk_id = rep").select(F.col("chunk_id").alias("id"))
     lines = F.size(F.split("text", "\n", -1))
     order = F.concat_ws("|", F.coalesce("evidence_level", F.lit("level_9")), F.lpad((F.lit(999_999) - lines).cast("string"), 6, "0"))
-    ids = docs.select(F.col("chunk_id").alias("id"), order.alias("ord")).join(reps, "id", "left_semi")
-    return D.greedy_keep(ids, D.similar_pairs(docs, "chunk_id"), "ord")
+    # the representative of a class of equal texts and its place in the order, in one pass
+    reps = docs.where("chunk_id is not null").groupBy(F.xxhash64(T.squash(F.col("text"))).alias("s")).agg(F.min(F.struct(F.col("chunk_id").alias("id"), order.alias("ord"))).alias("r"))
+    return D.greedy_keep(reps.select("r.*"), D.similar_pairs(docs, "chunk_id"), "ord")
 
 
 @R.add("overlap_chunks", "select chunk_id, source_id, concat(coalesce(right(lag(text) over (partition by source_id order by chunk_id), 76), ''), text) chunk from chunks where text is not null")

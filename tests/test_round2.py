@@ -109,3 +109,16 @@ def test_document_dedup_stages_no_text_without_partner(spark, staged_rows):
     search = {"candidates", "asked", "asked-texts"}
     assert {x for x, _ in staged_rows if not x.startswith("greedy")} == search
     assert sum(n for x, n in staged_rows if x in search) < rows
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_document_dedup_decides_only_ids_in_pairs(spark, staged_rows):
+    rows = catalog.queries()["document_dedup"](spark, TABLES).count()
+    assert max(n for x, n in staged_rows if x.startswith("greedy")) < rows / 2
+    assert sum(x == "greedy-pairs" for x, _ in staged_rows) == 1
+
+
+def test_greedy_keep_passes_ids_without_pairs_and_pairs_without_ids(spark):
+    ids = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (5, 0)], "id int, o int")
+    pairs = spark.createDataFrame([(2, 3), (3, 9)], "a int, b int")
+    assert sorted(map(tuple, D.greedy_keep(ids, pairs, "o").collect())) == [(1, 1), (2, 2), (3, 2), (5, 5)]
