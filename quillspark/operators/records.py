@@ -199,10 +199,13 @@ def paragraph_duplicates(paragraphs: DataFrame, threshold: float = D.THRESHOLD,
     Equal paragraphs are one class: its first one stands for it."""
     p = paragraphs.where(F.length("text") >= least).withColumn("key", F.concat_ws("\u0001", F.lpad(F.col("rank").cast("string"), 4, "0"), "doc", "para"))
     pairs = D.similar_pairs(p, "key", threshold=threshold)
-    reps = D.classes(p, "key")
-    ids = reps.where("key = rep").select(F.col("key").alias("id"), F.col("key").alias("ord"))
-    other = pairs.where(F.split_part("a", F.lit("\u0001"), F.lit(2)) != F.split_part("b", F.lit("\u0001"), F.lit(2)))
-    kept = D.greedy_keep(ids, other.select("a", "b"), "ord")
-    host = reps.join(kept.select(F.col("id").alias("rep"), "kept_as"), "rep").select("key", "kept_as")
     doc = lambda c: F.split_part(c, F.lit("\u0001"), F.lit(2))
-    return host.where(F.col("key") != F.col("kept_as")).where(doc(F.col("key")) != doc(F.col("kept_as"))).select(doc(F.col("key")).alias("doc"), F.split_part("key", F.lit("\u0001"), F.lit(3)).alias("para"), doc(F.col("kept_as")).alias("kept_doc"))
+    hashed = p.select("key", F.xxhash64(T.squash(F.col("text"))).alias("s"))
+    # (s, rep, n) of the classes of equal paragraphs; a class of one is looked at again only if its paragraph is dropped
+    reps = hashed.groupBy("s").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+    other = pairs.where(doc("a") != doc("b"))
+    kept = D.decided(reps.select(F.col("rep").alias("id"), F.col("rep").alias("ord")), other, "ord")
+    lost = D.small(kept.where("id <> kept_as").select(F.col("id").alias("rep"), "kept_as"), D.SENT)
+    open_ = staged(reps.join(lost, "rep", "left").where("n > 1 or kept_as is not null").select("s", F.coalesce("kept_as", "rep").alias("kept_as")), "open-classes")
+    host = hashed.join(D.small(open_, D.SENT), "s").where(F.col("key") != F.col("kept_as"))
+    return host.where(doc("key") != doc("kept_as")).select(doc("key").alias("doc"), F.split_part("key", F.lit("\u0001"), F.lit(3)).alias("para"), doc("kept_as").alias("kept_doc"))

@@ -173,8 +173,11 @@ def leaked_answers(spark, d):
 
 @R.add("paragraph_duplicates")
 def paragraph_duplicates(spark, d):
-    ln = X.lines(table(spark, d, "chunks"), "chunk_id").join(table(spark, d, "chunks").select("chunk_id", F.col("source_id").alias("doc"), F.when(F.col("evidence_level").startswith("level_1"), 1).otherwise(9).alias("rank")), "chunk_id")
-    return P.paragraph_duplicates(ln.select("doc", F.concat_ws("#", "chunk_id", "line_no").alias("para"), F.col("line").alias("text"), "rank").where("doc is not null"))
+    # the columns stay beside the lines: no text is shuffled for them
+    c = table(spark, d, "chunks").where("chunk_id is not null and source_id is not null and text is not null")
+    rank = F.when(F.col("evidence_level").startswith("level_1"), 1).otherwise(9).alias("rank")
+    ln = c.select("chunk_id", F.col("source_id").alias("doc"), rank, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return P.paragraph_duplicates(ln.select("doc", F.concat_ws("#", "chunk_id", "line_no").alias("para"), F.col("line").alias("text"), "rank"))
 
 
 @R.add("dataset_integrity", "select 'duplicate_id' issue, sample_id as key from queries group by 2 having count(*) > 1 union all select 'bucket_without_gold', sample_id from queries where bucket not in ('no_evidence', 'out_of_scope') and len(gold_evidence_ids) = 0 union all select 'gold_without_evidence_bucket', sample_id from queries where bucket in ('no_evidence', 'out_of_scope') and len(gold_evidence_ids) > 0 union all select 'no_bucket', sample_id from queries where bucket is null union all select distinct 'dangling_gold', sample_id from (select sample_id, unnest(gold_evidence_ids) id from queries) where id not in (select chunk_id from chunks)")

@@ -122,3 +122,16 @@ def test_greedy_keep_passes_ids_without_pairs_and_pairs_without_ids(spark):
     ids = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (5, 0)], "id int, o int")
     pairs = spark.createDataFrame([(2, 3), (3, 9)], "a int, b int")
     assert sorted(map(tuple, D.greedy_keep(ids, pairs, "o").collect())) == [(1, 1), (2, 2), (3, 2), (5, 5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_paragraphs_are_split_without_a_shuffle_of_texts(spark, monkeypatch):
+    seen, keep = [], D.similar_pairs
+
+    def similar_pairs(df, *args, **kwargs):
+        seen.append(df)
+        return keep(df, *args, **kwargs)
+
+    monkeypatch.setattr(D, "similar_pairs", similar_pairs)
+    catalog.queries()["paragraph_duplicates"](spark, TABLES).collect()
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
