@@ -135,3 +135,13 @@ def test_paragraphs_are_split_without_a_shuffle_of_texts(spark, monkeypatch):
     monkeypatch.setattr(D, "similar_pairs", similar_pairs)
     catalog.queries()["paragraph_duplicates"](spark, TABLES).collect()
     assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_p10_labels_lines_of_all_documents(spark):
+    p10 = pytest.importorskip("quillspark.llm.p10_residue")
+    words = [a + b for a in ("zorblat", "quixfen", "vumptro", "jaskwel") for b in ("ix", "omu", "erd")]
+    rows = [(k, f"lorem {w} {tail} ipsum") for k, (w, tail) in enumerate((w, x) for w in words for x in ("dolor", "amet"))]
+    prose = spark.range(100, 16_100).selectExpr("id as doc_id", "concat('Rain fell on day ', id, ' of the year') as text")
+    model = p10.fit(spark.createDataFrame(rows, "doc_id bigint, text string").union(prose))
+    keys = set(model.keys.tolist())
+    assert all(g in keys for w in words for g in p10._grams(w).tolist() if g)
