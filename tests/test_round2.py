@@ -103,6 +103,29 @@ def test_many_names_inside_few_keywords_are_not_shuffled(spark, monkeypatch):
     assert "Exchange hash" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [500, 0])
+def test_topics_stage_keywords_but_no_names(spark, monkeypatch, most):
+    rows, keep = [], P.staged
+    monkeypatch.setattr(P, "staged", lambda df, name: (out := keep(df, name), rows.append(out.count()))[0])
+    monkeypatch.setattr(P, "KEYWORDS", most, raising=False)
+    values = ["流感疫苗", "糖尿病", "痛", None]
+    names = [(f"d{i}", f"别的名称{i}") for i in range(40)] + [("a", "儿童流感疫苗接种"), ("b", "感疫苗"), ("c", "流感"), ("d", "空腹血糖"), ("e", None), ("a", "儿童流感疫苗接种")]
+    aliases = spark.createDataFrame([("糖尿病", "血糖"), ("流感", "感冒")], "alias string, target string")
+    got = P.resolved_topics(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(names, "doc string, name string"), aliases)
+    assert sorted(map(tuple, got.collect())) == [("流感疫苗", "a"), ("流感疫苗", "b"), ("糖尿病", "d")]
+    if most:
+        assert rows == [4]
+
+
+def test_few_long_hays_are_not_sent(spark, monkeypatch):
+    monkeypatch.setattr(P, "SENT_CHARS", 10_000, raising=False)
+    needles = spark.createDataFrame([("乙丙",)], "v string")
+    hay = "".join(chr(0x4E00 + i) for i in range(300)) + "乙丙"
+    got = P.contained(needles, spark.createDataFrame([(hay,)], "t string"), "v", "t")
+    assert [(r.needle, r.hay) for r in got.collect()] == [("乙丙", hay)]
+    assert got._jdf.queryExecution().analyzed().toString().count("strategy=broadcast") == 1  # of the needles alone
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 def test_document_dedup_stages_no_text_without_partner(spark, staged_rows):
     rows = catalog.queries()["document_dedup"](spark, TABLES).count()
