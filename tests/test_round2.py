@@ -168,3 +168,51 @@ def test_p10_labels_lines_of_all_documents(spark):
     model = p10.fit(spark.createDataFrame(rows, "doc_id bigint, text string").union(prose))
     keys = set(model.keys.tolist())
     assert all(g in keys for w in words for g in p10._grams(w).tolist() if g)
+
+
+P10_TEXTS = ["", "a", "abc", "abcd", "abcde", "中文", "中文字\n第12行\n\n", "1a１2", "ΑΣ", "ΑΣ1 ΑΣ", "{{ name", "}} [[x y]] __ab__", "\x00\n404 not found\n", "The page\nthe page you requested\nThe page"]
+
+
+def test_p10_texts_side_by_side_have_the_n_grams_of_each(monkeypatch):
+    np, p10 = pytest.importorskip("numpy"), pytest.importorskip("quillspark.llm.p10_residue")
+    made, keep = [], p10._hashes
+    monkeypatch.setattr(p10, "_hashes", lambda a: made.append(len(a)) or keep(a))
+    texts = P10_TEXTS * 40
+    got = [(chars[edges[k] + 1 : edges[k + 1]], g[edges[k] + 1 : edges[k + 1]], g[edges[k + 1]]) for which, chars, edges, g in p10.chunked(texts) for k in range(len(which))]
+    assert len(made) < len(texts) / 100  # made for many texts at once, not a text at a time
+    assert len(got) == len(texts)
+    for t, (chars, g, beyond) in zip(texts, got, strict=True):
+        shaped = p10.shaped(t)
+        assert "".join(map(chr, chars)) == shaped and beyond == 0
+        assert g.tolist() == p10._grams(shaped).tolist()
+    model = p10.Model(np.array(sorted(set(p10._grams("the page you requested").tolist()) - {0}), np.uint64), np.full((2, 18), 4.0))
+    alone = [(k, x) for k, t in enumerate(texts) if (x := model.spans(t))]
+    assert alone == list(model.all_spans(texts)) and len(alone) == 40
+
+
+def test_p10_counts_equal_brute_force(spark):
+    np, p10 = pytest.importorskip("numpy"), pytest.importorskip("quillspark.llm.p10_residue")
+    keys = np.array(sorted({g for t in ("the page you requested", "404 not found", "第12行") for g in p10._grams(p10.shaped(t)).tolist()} - {0}), np.uint64)
+    place = {int(g): k for k, g in enumerate(keys)}
+    n, total, lines = {}, 0, {}
+    for t in P10_TEXTS * 3:
+        shaped = p10.shaped(t)
+        grams = p10._grams(shaped).tolist()
+        total += len(shaped)
+        at = 0
+        for line in shaped.split("\n"):
+            own = grams[at : at + len(line) + 1]
+            at += len(line) + 1
+            held = [place[g] for g in own if g in place]
+            if held:
+                total -= len(line)
+                full = [g for g in own if g]
+                if not (len(full) >= p10.FEW and len(held) >= p10.KNOWN * len(full)):
+                    lines.setdefault(line, held)
+    for line, held in lines.items():
+        total += len(line)
+        for k in held:
+            n[k] = n.get(k, 0) + 1
+    got = {r.gram: (r.n, r.total) for r in p10.gram_counts(spark.createDataFrame(list(enumerate(P10_TEXTS * 3)), "doc_id int, text string"), keys, np.ones(len(keys), bool)).collect()}
+    assert got.pop(-1) == (0, total)
+    assert got == {k: (v, 0) for k, v in n.items()} and n
