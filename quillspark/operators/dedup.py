@@ -208,6 +208,17 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     return free.unionByName(kept)
 
 
+def greedy_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, kept_as) of all rows (id, s), visited by id, see `decided`; rows of one s are copies, and pairs are between the first ids of each s.
+
+    Copies have the same neighbours, so at most the first of them is kept, and the others go where it goes. Only ids are shuffled; what is dropped for another class is staged alone."""
+    first = rows.groupBy("s").agg(F.min("id").alias("id"))
+    kept = decided(first.select("id", F.col("id").alias("ord")), pairs, "ord")
+    dropped = small(kept.where("kept_as != id").select(F.col("id").alias("first"), "kept_as"), SENT)
+    every = rows.select("id", F.min("id").over(Window.partitionBy("s")).alias("first"))
+    return every.join(dropped, "first", "left").select("id", F.coalesce("kept_as", "first").alias("kept_as"))
+
+
 def sample_recall(pairs: DataFrame, truth: pd.DataFrame) -> float:
     """Share of the true (a, b) pairs that `pairs` has."""
     got = pairs.sparkSession.createDataFrame(truth).join(pairs, ["a", "b"], "left_semi").count()

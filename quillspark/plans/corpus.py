@@ -135,13 +135,14 @@ def jaccard_pairs(spark, d):
 
 @R.add("document_dedup")
 def document_dedup(spark, d):
-    """Documents in order of evidence level, number of elements (most first) and id; the kept row that each near-duplicate is dropped for. Chunks stand in for documents, their lines for elements."""
-    docs = table(spark, d, "chunks").where("text is not null")
+    """Every document with the kept one that it is a copy or near-duplicate of (itself where it is kept), visited in order of evidence level, number of elements (most first) and id. Chunks stand in for documents, their lines for elements."""
+    docs = table(spark, d, "chunks").where("text is not null and chunk_id is not null")
     lines = F.size(F.split("text", "\n", -1))
     order = F.concat_ws("|", F.coalesce("evidence_level", F.lit("level_9")), F.lpad((F.lit(999_999) - lines).cast("string"), 6, "0"))
-    # the representative of a class of equal texts and its place in the order, in one pass
-    reps = docs.where("chunk_id is not null").groupBy(F.xxhash64(T.squash(F.col("text"))).alias("s")).agg(F.min(F.struct(F.col("chunk_id").alias("id"), order.alias("ord"))).alias("r"))
-    return D.greedy_keep(reps.select("r.*"), D.similar_pairs(docs, "chunk_id"), "ord")
+    # the place in the order is part of the key, so the first of a class of equal texts stands for it
+    docs = docs.select(F.struct(order.alias("ord"), F.col("chunk_id").alias("id")).alias("key"), "text")
+    rows = docs.select(F.col("key").alias("id"), F.xxhash64(T.squash(F.col("text"))).alias("s"))
+    return D.greedy_rows(rows, D.similar_pairs(docs, "key")).select("id.id", F.col("kept_as.id").alias("kept_as"))
 
 
 @R.add("overlap_chunks", "select chunk_id, source_id, concat(coalesce(right(lag(text) over (partition by source_id order by chunk_id), 76), ''), text) chunk from chunks where text is not null")

@@ -59,3 +59,30 @@ def test_bootstrap_mean_takes_every_question(spark):
         want[split] = (sum(v) / len(v), means[50], means[1949])
     got = catalog.queries()["bootstrap_mean"](spark, TABLES).collect()
     assert {r.split: (r["mean"], r.low, r.high) for r in got} == want and len(want) > 1
+
+
+def _kept(docs):
+    """The kept row of each document by definition: every document against all kept ones before it."""
+
+    def grams(x):
+        x = "".join(x.split())
+        return {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+
+    kept, out = [], {}
+    for id_, text, level in sorted((d for d in docs if d[1] is not None), key=lambda d: (d[2] or "level_9", -d[1].count("\n"), d[0])):
+        g = grams(text)
+        out[id_] = next((k for k, o in kept if len(g & o) / len(g | o) >= 0.85), id_)
+        if out[id_] == id_:
+            kept.append((id_, g))
+    return out
+
+
+def test_document_dedup_has_a_row_for_every_copy(spark, tmp_path):
+    base = ["".join(chr(0x4E00 + (i * 7919 + j * (31 + i)) % 9000) for j in range(120)) for i in range(6)]
+    docs = [(f"a{i}{k}", b[: 120 - k], f"level_{1 + (i + k) % 4}") for i, b in enumerate(base) for k in range(0, 15, 3)]
+    docs += [("z0", base[0], "level_0"), ("z1", base[0] + " ", None), ("z2", base[1][:60] + "\n" + base[1][60:], "level_1"), ("z3", base[2][:111], "level_0"), ("z4", base[2][:111], "level_1"), ("z5", base[3], "level_1"), ("z6", base[3], "level_1")]
+    docs += [("e0", "", "level_2"), ("e1", " ", "level_1"), ("n", None, "level_0"), ("s0", "短", None), ("s1", "短 ", None), ("s2", "短短", None)]
+    spark.createDataFrame(docs, "chunk_id string, text string, evidence_level string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = catalog.queries()["document_dedup"](spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) - 1
+    assert {r.id: r.kept_as for r in got} == _kept(docs)
