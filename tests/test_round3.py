@@ -86,3 +86,11 @@ def test_document_dedup_has_a_row_for_every_copy(spark, tmp_path):
     got = catalog.queries()["document_dedup"](spark, str(tmp_path)).collect()
     assert len(got) == len(docs) - 1
     assert {r.id: r.kept_as for r in got} == _kept(docs)
+
+
+def test_topic_resolution_takes_titles_with_brackets(spark, tmp_path):
+    titles = [("a", "儿童流感（2020年版）"), ("b", "大流行性疾病（流感）"), ("c", "空腹检查 (血糖)"), ("d", "高血压（含流感附件）"), ("e", "流感疫苗"), ("f", None), ("g", "（试行）"), ("h", "预防（感冒）指南")]
+    spark.createDataFrame(titles, "document_id string, title string").write.parquet(f"{tmp_path}/sources.parquet")
+    spark.createDataFrame([({"topic": "流感"},), ({"topic": "糖尿病"},), ({"other": "高血压"},), (None,)], "expected_filters map<string,string>").write.parquet(f"{tmp_path}/queries_authored.parquet")
+    got = sorted(map(tuple, catalog.queries()["topic_resolution"](spark, str(tmp_path)).collect()))
+    assert got == [("流感", "a"), ("流感", "b"), ("流感", "e"), ("流感", "h"), ("糖尿病", "c")]
